@@ -200,7 +200,7 @@ def pack(df: DataFrame, path: str, size: int = SIZE, end_id: int = 0) -> DataFra
 
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     schema = T.StructType.fromDDL(kinds)
-    return cut.join(base.select("length", "part", "base"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", "rank", "base").mapInArrow(place, kinds)
+    return cut.join(base.select("length", "part", "base").hint("merge"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", "rank", "base").mapInArrow(place, kinds)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_bpe
+from .classifier import op8_quality_classifier
+from .minhash import op10_jaccard_join
+from .mixing import op1_lm_scoring
 from .packing import op2_packing
+from .quality import op5_quality_rules
+from .secrets import op4_secret_scans
+from .vectors import op3_embedding_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_packing": op2_packing,
+    "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_secret_scans": op4_secret_scans,
+    "op5_quality_rules": op5_quality_rules,
     "op6_bpe": op6_bpe,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -1,4 +1,15 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage works on all rows that the one before kept: quality rules and the
+quality classifier drop what they reject, the n-gram Jaccard join keeps one
+document of each group of near copies (the smallest doc_id), secret scans
+replace what they find in the texts, and best-fit packing lays the tokens out.
+
+Defined results: null texts and texts without words are rejected by the first
+stage; repeated rows are copies, of which the third stage keeps one; a null
+doc_id is dropped by the third stage, as it cannot be told from others; empty
+tables pass through.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +17,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loglathe.llm import classifier, minhash, packing, quality, secrets
 from loglathe.llm import common as C
-from loglathe.llm import packing
 
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents within the base rules and their language's perplexity bands."""
+    return quality.rules(docs, DOCUMENTS).where("kept").select(*DOCUMENTS)
+
+
+def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label model finds good."""
+    return classifier.classify(docs, through=DOCUMENTS).where("kept").select(*DOCUMENTS)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near copies, once."""
+    kept = minhash.neighbours(docs).where("kept").select("doc_id").distinct()
+    return docs.select(*DOCUMENTS).join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*DOCUMENTS)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents, secrets replaced."""
+    return secrets.redacted(docs.select(*DOCUMENTS))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing of everything that was kept."""
     import public_tokenizers
@@ -20,6 +52,10 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", by_rules),
+    ("quality classifier", by_classifier),
+    ("n-gram Jaccard join", without_near_copies),
+    ("secret scans", without_secrets),
     ("best-fit packing", packed),
 ]
 

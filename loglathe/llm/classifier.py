@@ -121,14 +121,15 @@ def features(data: np.ndarray, offs: np.ndarray, parts: dict) -> tuple[np.ndarra
     return (keys % np.uint64(SLOTS)).astype(np.int32), values.astype(np.float32), np.bincount(text, minlength=len(per))
 
 
-def fit_labellers(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.8, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
-    """EM: each labeller's vote probabilities given bad and good [labeller, class, vote], each pattern's posterior of good, and the prior."""
+def fit_labellers(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.8, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+    """EM: each labeller's chance of a good vote, where it votes, given bad and good [labeller, class]; each pattern's posterior of good; the prior."""
     k = len(LABELLERS)
     digit = (patterns[:, None] // 3 ** np.arange(k)) % 3
-    rates = np.tile(np.array([[0.2, 0.6, 0.2], [0.2, 0.1, 0.7]]), (k, 1, 1))
+    good, bad = digit == GOOD, digit == BAD
+    rates = np.tile(np.array([[0.2, 0.9]]), (k, 1))
     post = np.zeros(len(patterns))
     for _ in range(rounds):
-        log = [np.log((1 - prior, prior)[y]) + np.log(rates[np.arange(k), y, digit]).sum(1) for y in (0, 1)]
+        log = [np.log((1 - prior, prior)[y]) + good @ np.log(rates[:, y]) + bad @ np.log(1 - rates[:, y]) for y in (0, 1)]
         new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
         done = np.abs(new - post).max(initial=0) < 1e-9
         post = new
@@ -136,9 +137,7 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.8,
             break
         prior = float(np.clip((post @ counts) / max(1, counts.sum()), 0.05, 0.95))
         for y, weight in ((0, counts * (1 - post)), (1, counts * post)):
-            for v in range(3):
-                rates[:, y, v] = ((digit == v) * weight[:, None]).sum(0) + 1
-        rates /= rates.sum(2, keepdims=True)
+            rates[:, y] = (weight @ good + 1) / (weight @ (good | bad) + 2)
     return rates, post, prior
 
 
@@ -175,8 +174,8 @@ def label(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, pattern int")
 
 
-def classify(df: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, pattern, label (its posterior of good), score (the scorer's probability of good), kept."""
+def classify(df: DataFrame, least: float = LEAST, through: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``through``, and pattern, label (its posterior of good), score (the scorer's probability of good), kept."""
     spark = df.sparkSession
     labelled = C.stored(label(df), "votes")
     found = labelled.groupBy("pattern").count().toArrow()  # 3**7 rows at most
@@ -218,9 +217,9 @@ def classify(df: DataFrame, least: float = LEAST) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(np.bincount(own, w[slots] * values, len(per)) + bias, -30, 30)))
             pattern = v @ 3 ** np.arange(len(LABELLERS))
             mine = np.array([soft[x] for x in pattern.tolist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pattern, pa.int32()), pa.array(mine), pa.array(p), pa.array((np.where(parts["per"] < SHORT, mine, p) >= least) & (parts["per"] > 0))], ["doc_id", "pattern", "label", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in through), pa.array(pattern, pa.int32()), pa.array(mine), pa.array(p), pa.array((np.where(parts["per"] < SHORT, mine, p) >= least) & (parts["per"] > 0))], [*through, "pattern", "label", "score", "kept"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, pattern int, label double, score double, kept boolean")
+    return df.select(*dict.fromkeys([*through, "text"])).mapInArrow(run, C.with_columns(df, through, "pattern int, label double, score double, kept boolean"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

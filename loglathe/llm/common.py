@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Bytes of text handled at once; numpy temporaries take about 60 times as much.
 CHUNK_BYTES = 2 << 20
@@ -185,3 +186,8 @@ def signed(h: np.ndarray) -> np.ndarray:
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     return df.select(*columns) if columns else df
+
+
+def with_columns(df: DataFrame, through: tuple[str, ...], more: str) -> T.StructType:
+    """The schema of the columns ``through`` and those of the DDL string ``more``."""
+    return T.StructType([df.schema[c] for c in through] + (T.StructType.fromDDL(more).fields if more else []))

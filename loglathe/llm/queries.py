@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_bpe
+from .chat import op7_chat_formatting
 from .classifier import op8_quality_classifier
 from .minhash import op10_jaccard_join
 from .mixing import op1_lm_scoring
@@ -14,6 +15,7 @@ from .packing import op2_packing
 from .quality import op5_quality_rules
 from .secrets import op4_secret_scans
 from .vectors import op3_embedding_dedup
+from .warc import op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
@@ -22,7 +24,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scans": op4_secret_scans,
     "op5_quality_rules": op5_quality_rules,
     "op6_bpe": op6_bpe,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_warc": op9_warc,
     "op10_jaccard_join": op10_jaccard_join,
 }
 

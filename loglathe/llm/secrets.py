@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -67,15 +68,18 @@ def pair_counts(strings: list[bytes]) -> np.ndarray:
     return counts
 
 
-FOUND = "doc_id long, base string, candidates string, secret binary, ordinary binary"
+FOUND = "base string, candidates string, secret binary, ordinary binary"
 
 
-def find(df: DataFrame) -> DataFrame:
-    """doc_id, base spans, candidates (start:string); and once a task, without doc_id, the two tables of pair counts."""
+def find(df: DataFrame, through: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``through``, base spans, candidates (start:string); and once a task, with those columns null, the two tables of pair counts."""
+
+    schema = C.with_columns(df, through, FOUND)
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         secret, ordinary = np.zeros(N * N, np.int64), np.zeros(N * N, np.int64)
-        empty = True
+        kinds = None
         for batch in C.chunks(batches):
             data, offs = C.buffers(batch.column("text"))
             starts, ends, _ = C.words(data, offs)
@@ -99,13 +103,13 @@ def find(df: DataFrame) -> DataFrame:
             counts = pair_counts(values)
             secret += counts
             ordinary -= counts  # these were counted as words
-            empty = False
+            kinds = [batch.schema.field(c).type for c in through]
             none = pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base), pa.array(candidates), none, none], ["doc_id", "base", "candidates", "secret", "ordinary"])
-        if not empty:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.array([secret.tobytes()]), pa.array([np.maximum(ordinary, 0).tobytes()])], ["doc_id", "base", "candidates", "secret", "ordinary"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in through), pa.array(base), pa.array(candidates), none, none], [*through, "base", "candidates", "secret", "ordinary"])
+        if kinds is not None:
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.array([secret.tobytes()]), pa.array([np.maximum(ordinary, 0).tobytes()])], [*through, "base", "candidates", "secret", "ordinary"])
 
-    return df.select("doc_id", "text").mapInArrow(run, FOUND)
+    return df.select(*dict.fromkeys([*through, "text"])).mapInArrow(run, schema)
 
 
 def add_tables(df: DataFrame) -> DataFrame:
@@ -144,9 +148,9 @@ def further(text: str, ratio: np.ndarray) -> bool:
     return float(ratio[s[:-1], s[1:]].mean()) >= LEAST_RATIO
 
 
-def scan(df: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_markov, base, spans (both joined as kind:start:end)."""
-    found = C.stored(find(df), "spans")
+def scan(df: DataFrame, through: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``through``, n_assign, n_access, n_hex, n_markov, base, spans (both joined as kind:start:end)."""
+    found = C.stored(find(df, through), "spans")
     tables = add_tables(found.where("secret is not null").coalesce(C.tasks(df.sparkSession))).toArrow()
     total = [np.zeros(N * N, np.int64), np.zeros(N * N, np.int64)]
     for t, name in zip(total, ("secret", "ordinary")):  # one fixed table a task
@@ -168,10 +172,23 @@ def scan(df: DataFrame) -> DataFrame:
                 counts.append([sum(k == kind for k, _, _ in own) for kind in KINDS])
             n = np.array(counts, np.int64).reshape(-1, len(KINDS))
             sha = [hashlib.sha256(b.encode()).hexdigest() for b in batch.column("base").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(n[:, i]) for i in range(len(KINDS))), pa.array(sha), pa.array(spans)], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in through), *(pa.array(n[:, i]) for i in range(len(KINDS))), pa.array(sha), pa.array(spans)], [*through, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+
+    kinds = "n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string"
+    return found.where("secret is null").select(*through, "base", "candidates").mapInArrow(run, C.with_columns(found, through, kinds))
+
+
+def redacted(df: DataFrame) -> DataFrame:
+    """The same table with every secret in ``text`` replaced, and n_chars as it is then."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [redact(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
+            yield batch.drop_columns(["spans"]).set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
-    kinds = "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string"
-    return found.where("secret is null").select("doc_id", "base", "candidates").mapInArrow(run, kinds)
+    columns = tuple(df.columns)
+    out = scan(df, columns).select(*columns, "spans").mapInArrow(run, C.with_columns(df, columns, ""))
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns) if "n_chars" in columns else out
 
 
 def redact(text: str | None, spans: str, mark: str = "[SECRET]") -> str | None:

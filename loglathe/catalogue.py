@@ -1,12 +1,8 @@
-"""All queries over the reference data model, by name."""
+"""All queries over the session model, by name."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import ledger_queries, transcript_queries  # noqa: F401
+from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "usage_series"

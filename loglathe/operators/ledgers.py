@@ -16,7 +16,9 @@ LONG = 272_000
 PRICES = {False: (5.0, 0.5, 30.0), True: (10.0, 1.0, 45.0)}
 MUTATION_FLOOR, MUTATION_SHARE = 1024, 0.02
 
-BY = W.partitionBy("session").orderBy("ordinal")
+def BY():  # noqa: N802
+    """A session's rows in order."""
+    return W.partitionBy("session").orderBy("ordinal")
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -48,7 +50,7 @@ def usage_totals(p: DataFrame) -> DataFrame:
 
 def usage_rows(p: DataFrame) -> DataFrame:
     """Each request with the prompt before it, and whether the cache lost more than it may by chance."""
-    prev = F.lag("prompt").over(BY)
+    prev = F.lag("prompt").over(BY())
     slack = F.greatest(F.lit(float(MUTATION_FLOOR)), F.col("prev_prompt") * MUTATION_SHARE)
     return p.withColumn("prev_prompt", prev).withColumn("mutated", F.coalesce(F.col("cache_read") < F.col("prev_prompt") - slack, F.lit(False)))
 
@@ -115,20 +117,20 @@ def top_repeats(t: DataFrame, limit: int = 10) -> DataFrame:
 
 # --------------------------------------------------------------------- waits
 def think_time(p: DataFrame) -> DataFrame:
-    gap = F.lead("requested").over(BY) - F.col("released")
+    gap = F.lead("requested").over(BY()) - F.col("released")
     q = lambda x: F.expr(f"cast(percentile_disc({x}) within group (order by gap) as bigint)")
     return p.withColumn("gap", gap).where("gap is not null").groupBy("session").agg(F.count("*").alias("gaps"), F.max("gap").alias("max_gap"), q(0.95).alias("p95"), q(0.5).alias("median"))
 
 
 def pace_audit(p: DataFrame, bound: int = 3_600_000) -> DataFrame:
-    gap = F.col("released") - F.lag("released").over(BY)
+    gap = F.col("released") - F.lag("released").over(BY())
     return p.withColumn("gap", gap).groupBy("session").agg(F.count_if(F.col("gap") > bound).alias("late"), F.max("gap").alias("max_gap"), F.count_if(F.col("gap") < 0).alias("backwards"))
 
 
 def inflow(p: DataFrame, width: int = 8) -> DataFrame:
     """The largest of the last ``width`` positive steps of the prompt."""
-    step = F.greatest(F.col("prompt") - F.lag("prompt").over(BY), F.lit(0))
-    top = F.max("step").over(BY.rowsBetween(1 - width, 0))
+    step = F.greatest(F.col("prompt") - F.lag("prompt").over(BY()), F.lit(0))
+    top = F.max("step").over(BY().rowsBetween(1 - width, 0))
     return p.withColumn("step", step).select("session", "ordinal", "step", F.coalesce(top, F.lit(0)).alias("expected"))
 
 
@@ -137,8 +139,8 @@ def weather(p: DataFrame) -> DataFrame:
     """Runs of errors with the good response before and after; a run between equal payloads is a cold restart."""
     bad = F.col("stop_reason") == "error"
     good = F.when(~bad, F.struct("ordinal", "props"))
-    r = p.withColumn("run", F.sum((~bad).cast("int")).over(BY)).withColumn("before", F.last(good, True).over(BY.rowsBetween(W.unboundedPreceding, -1)))
-    r = r.withColumn("after", F.first(good, True).over(BY.rowsBetween(1, W.unboundedFollowing))).where(bad)
+    r = p.withColumn("run", F.sum((~bad).cast("int")).over(BY())).withColumn("before", F.last(good, True).over(BY().rowsBetween(W.unboundedPreceding, -1)))
+    r = r.withColumn("after", F.first(good, True).over(BY().rowsBetween(1, W.unboundedFollowing))).where(bad)
     runs = r.groupBy("session", "run").agg(F.min("ordinal").alias("first"), F.count("*").cast("bigint").alias("errors"), F.min_by("before", "ordinal").alias("b"), F.max_by("after", "ordinal").alias("a"))
     return runs.select("session", "first", "errors", F.col("b.ordinal").alias("good_before"), F.col("a.ordinal").alias("good_after"), F.coalesce(F.col("b.props") == F.col("a.props"), F.lit(False)).alias("cold_restart"))
 
@@ -162,7 +164,7 @@ def cohorts(e: DataFrame, record: str = "signup", request: str = "click") -> Dat
 
 def receipt_missing(e: DataFrame, commit: str = "purchase", receipt: str = "signup", projection: str = "view") -> DataFrame:
     """Commits that no receipt follows before the next projection."""
-    after = BY.rowsBetween(1, W.unboundedFollowing)
+    after = BY().rowsBetween(1, W.unboundedFollowing)
     nxt = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("ordinal"))).over(after)
     r = e.withColumn("receipt", nxt(receipt)).withColumn("projection", nxt(projection)).where(F.col("kind") == commit)
     return r.where(F.col("projection").isNotNull() & (F.col("receipt").isNull() | (F.col("receipt") > F.col("projection")))).select("session", "ordinal", "projection")
@@ -186,7 +188,7 @@ def surfacing(e: DataFrame, offer: str = "click", outcome: str = "purchase") ->
 
 def request_classes(p: DataFrame, prefix: str = "click") -> DataFrame:
     """Each prefix with its class, by what happened since the prefix before, and the first usage until the next."""
-    before = F.count_if(F.col("kind") == prefix).over(BY.rowsBetween(W.unboundedPreceding, -1))
+    before = F.count_if(F.col("kind") == prefix).over(BY().rowsBetween(W.unboundedPreceding, -1))
     r = p.withColumn("island", F.coalesce(before, F.lit(0)))
     some = lambda kind: F.max((F.col("kind") == kind).cast("int")) == 1
     cls = F.when(some("error"), "after-rollback").when(some("signup"), "after-expand").when(some("purchase"), "after-fold").otherwise("unknown")
@@ -202,7 +204,7 @@ def request_class_cache(p: DataFrame) -> DataFrame:
 def counterfactual(p: DataFrame) -> DataFrame:
     """What the cache could have served: nothing first, else what the divergence left of the prompt before."""
     r = request_classes(p)
-    prev = F.lag("prompt").over(BY)
+    prev = F.lag("prompt").over(BY())
     kept = F.when(F.col("prev").isNull(), 0).when(F.col("class") == "unknown", F.col("prev")).otherwise(F.least("cache_read", "prev"))
     r = r.withColumn("prev", prev).withColumn("served", F.least(kept, F.col("prompt")))
     return r.groupBy("class").agg(F.count("*").alias("requests"), F.sum("served").alias("served"), share(F.sum("served"), F.sum("prompt")).alias("counterfactual_share"), share(F.sum("cache_read"), F.sum("prompt")).alias("observed_share"))
@@ -221,11 +223,11 @@ def curation_mass(t: DataFrame) -> DataFrame:
 def steward_windows(e: DataFrame, edge: float = 50.0, commit: str = "purchase") -> DataFrame:
     """Crossings into the band (values from ``edge``), until the next commit, with the accepted attempts inside."""
     inside = F.col("value") >= edge
-    r = e.withColumn("crossing", inside & ~F.coalesce(F.lag("value").over(BY) >= edge, F.lit(False)))
-    r = r.withColumn("commit", F.min(F.when(F.col("kind") == commit, F.col("ordinal"))).over(BY.rowsBetween(1, W.unboundedFollowing)))
-    clicks = F.count_if(F.col("kind") == "click").over(BY)
+    r = e.withColumn("crossing", inside & ~F.coalesce(F.lag("value").over(BY()) >= edge, F.lit(False)))
+    r = r.withColumn("commit", F.min(F.when(F.col("kind") == commit, F.col("ordinal"))).over(BY().rowsBetween(1, W.unboundedFollowing)))
+    clicks = F.count_if(F.col("kind") == "click").over(BY())
     r = r.withColumn("clicks", clicks)
-    at = F.min(F.when(F.col("kind") == commit, F.struct("ordinal", "clicks"))).over(BY.rowsBetween(1, W.unboundedFollowing))
+    at = F.min(F.when(F.col("kind") == commit, F.struct("ordinal", "clicks"))).over(BY().rowsBetween(1, W.unboundedFollowing))
     return r.withColumn("at", at).where("crossing").select("session", "ordinal", "commit", F.when(F.col("commit").isNotNull(), F.col("at.clicks") - F.col("clicks")).alias("attempts"))
 
 
@@ -256,11 +258,11 @@ def seal(e: DataFrame) -> DataFrame:
     """Chained records: each digest covers the record, each record holds the digest before."""
     body = F.concat_ws("|", "session", "ordinal", "kind", "props")
     r = e.withColumn("record_sha", F.sha2(body, 256))
-    return r.withColumn("prior_sha", F.lag("record_sha").over(BY)).select("session", "ordinal", "kind", "props", "record_sha", "prior_sha")
+    return r.withColumn("prior_sha", F.lag("record_sha").over(BY())).select("session", "ordinal", "kind", "props", "record_sha", "prior_sha")
 
 
 def audit_chain(records: DataFrame) -> DataFrame:
     """A session's breaks: ordinals that are not dense from 1, wrong links, wrong digests."""
     body = F.concat_ws("|", "session", "ordinal", "kind", "props")
-    r = records.withColumn("n", F.row_number().over(BY)).withColumn("link", F.lag("record_sha").over(BY)).withColumn("own", F.sha2(body, 256))
+    r = records.withColumn("n", F.row_number().over(BY())).withColumn("link", F.lag("record_sha").over(BY())).withColumn("own", F.sha2(body, 256))
     return r.groupBy("session").agg(F.count("*").alias("records"), F.count_if(F.col("ordinal") != F.col("n")).alias("gaps"), F.count_if(~F.col("link").eqNullSafe(F.col("prior_sha"))).alias("wrong_links"), F.count_if(F.col("own") != F.col("record_sha")).alias("wrong_digests"), F.max_by("record_sha", "ordinal").alias("head"))

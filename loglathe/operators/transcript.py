@@ -13,14 +13,20 @@ from pyspark.sql.window import Window as W
 from ..policy import BYTES_PER_TOKEN, Policy
 from .ledgers import share
 
-ORDER = W.partitionBy("session").orderBy("idx")
-LATER = W.partitionBy("session").orderBy(F.desc("idx")).rowsBetween(W.unboundedPreceding, -1)
+def ORDER():  # noqa: N802
+    """A session's rows in order."""
+    return W.partitionBy("session").orderBy("idx")
+
+
+def LATER():  # noqa: N802
+    """The rows behind each."""
+    return W.partitionBy("session").orderBy(F.desc("idx")).rowsBetween(W.unboundedPreceding, -1)
 TRAILING = ("custom", "bashExecution")
 
 
 def with_turns(m: DataFrame) -> DataFrame:
     """Rows with the number of their turn: 0 before the first user row."""
-    return m.withColumn("turn", F.count_if(F.col("role") == "user").over(ORDER))
+    return m.withColumn("turn", F.count_if(F.col("role") == "user").over(ORDER()))
 
 
 def segments(m: DataFrame) -> DataFrame:
@@ -58,7 +64,7 @@ def unsafe(m: DataFrame) -> DataFrame:
 
 def fresh_tail(m: DataFrame, policy: Policy) -> DataFrame:
     """Rows behind which less than the fresh bytes lie."""
-    later = F.coalesce(F.sum("nbytes").over(LATER), F.lit(0))
+    later = F.coalesce(F.sum("nbytes").over(LATER()), F.lit(0))
     return m.withColumn("later", later).where(F.col("later") < policy.zone_bytes(policy.fresh_tail)).select("session", "idx", "later")
 
 
@@ -76,7 +82,7 @@ def current_turn_boundary(m: DataFrame) -> DataFrame:
 
 def span_bytes(m: DataFrame, spans: DataFrame) -> DataFrame:
     """Bytes of each span as one JSON list: its rows, commas and brackets."""
-    p = m.select("session", "idx", F.sum("nbytes").over(ORDER).alias("upto"), F.row_number().over(ORDER).alias("n"), "nbytes")
+    p = m.select("session", "idx", F.sum("nbytes").over(ORDER()).alias("upto"), F.row_number().over(ORDER()).alias("n"), "nbytes")
     a = p.select("session", F.col("idx").alias("start"), (F.col("upto") - F.col("nbytes")).alias("before"), (F.col("n") - 1).alias("n0"))
     b = p.select("session", (F.col("idx") + 1).alias("end"), "upto", F.col("n").alias("n1"))
     r = spans.join(a, ["session", "start"]).join(b, ["session", "end"])
@@ -118,7 +124,7 @@ def aligned(window: DataFrame, log: DataFrame) -> DataFrame:
 
 def protected_mass(m: DataFrame, policy: Policy, pinned: str = "custom") -> DataFrame:
     """Bytes and rows that are pinned, and those of them that would be stale."""
-    later = F.coalesce(F.sum("nbytes").over(LATER), F.lit(0))
+    later = F.coalesce(F.sum("nbytes").over(LATER()), F.lit(0))
     r = m.withColumn("stale", later >= policy.zone_bytes(policy.fresh_tail)).withColumn("pin", F.col("role") == pinned)
     mass = lambda c: F.sum(F.when(c, F.col("nbytes")).otherwise(0))
     return r.groupBy("session").agg(F.count_if("pin").alias("pinned"), mass(F.col("pin")).alias("pinned_bytes"), F.count_if(F.col("pin") & F.col("stale")).alias("stale"), mass(F.col("pin") & F.col("stale")).alias("stale_bytes"))
@@ -145,7 +151,7 @@ def occupancy(m: DataFrame, policy: Policy) -> DataFrame:
 def admission(m: DataFrame, policy: Policy) -> DataFrame:
     """Whether each row fits what the rows before leave of the budget."""
     cost = F.ceil(F.col("nbytes") / BYTES_PER_TOKEN).cast("bigint")
-    before = F.coalesce(F.sum("cost").over(ORDER.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("cost").over(ORDER().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     r = m.withColumn("cost", cost).withColumn("headroom", F.lit(policy.budget_tokens) - before)
     return r.select("session", "idx", "cost", "headroom", (F.col("cost") <= F.col("headroom")).alias("admitted"))
 

@@ -29,7 +29,7 @@ SAMPLE, SLOTS, PASSES = 20_000, 1 << 16, 8
 FIGURES = 40  # slots of shares
 #: A document is rejected below this probability of being good.
 LEAST = 0.3
-#: Shorter texts (words) give the scorer too little to go by; their label decides.
+#: Shorter texts (words) give the model too little to go by; the majority of their votes decides.
 SHORT = 20
 GOOD, BAD, NONE = 2, 1, 0
 LABELLERS = ("symbols", "repetition", "lines", "function words", "sentence ends", "word length", "length")
@@ -122,14 +122,13 @@ def features(data: np.ndarray, offs: np.ndarray, parts: dict) -> tuple[np.ndarra
 
 
 def fit_labellers(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.8, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
-    """EM: each labeller's chance of a good vote, where it votes, given bad and good [labeller, class]; each pattern's posterior of good; the prior."""
+    """EM: each labeller's chances of its votes (none, bad, good) given bad and good [labeller, class, vote], each pattern's posterior of good, the prior."""
     k = len(LABELLERS)
     digit = (patterns[:, None] // 3 ** np.arange(k)) % 3
-    good, bad = digit == GOOD, digit == BAD
-    rates = np.tile(np.array([[0.2, 0.9]]), (k, 1))
+    rates = np.tile(np.array([[0.2, 0.6, 0.2], [0.2, 0.1, 0.7]]), (k, 1, 1))
     post = np.zeros(len(patterns))
     for _ in range(rounds):
-        log = [np.log((1 - prior, prior)[y]) + good @ np.log(rates[:, y]) + bad @ np.log(1 - rates[:, y]) for y in (0, 1)]
+        log = [np.log((1 - prior, prior)[y]) + np.log(rates[np.arange(k), y, digit]).sum(1) for y in (0, 1)]
         new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
         done = np.abs(new - post).max(initial=0) < 1e-9
         post = new
@@ -137,7 +136,9 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.8,
             break
         prior = float(np.clip((post @ counts) / max(1, counts.sum()), 0.05, 0.95))
         for y, weight in ((0, counts * (1 - post)), (1, counts * post)):
-            rates[:, y] = (weight @ good + 1) / (weight @ (good | bad) + 2)
+            for v in range(3):
+                rates[:, y, v] = weight @ (digit == v) + 1
+        rates /= rates.sum(2, keepdims=True)
     return rates, post, prior
 
 
@@ -217,7 +218,7 @@ def classify(df: DataFrame, least: float = LEAST, through: tuple[str, ...] = ("d
             p = 1 / (1 + np.exp(-np.clip(np.bincount(own, w[slots] * values, len(per)) + bias, -30, 30)))
             pattern = v @ 3 ** np.arange(len(LABELLERS))
             mine = np.array([soft[x] for x in pattern.tolist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in through), pa.array(pattern, pa.int32()), pa.array(mine), pa.array(p), pa.array((np.where(parts["per"] < SHORT, mine, p) >= least) & (parts["per"] > 0))], [*through, "pattern", "label", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in through), pa.array(pattern, pa.int32()), pa.array(mine), pa.array(p), pa.array(np.where(parts["per"] < SHORT, (v == GOOD).sum(1) > (v == BAD).sum(1), p >= least))], [*through, "pattern", "label", "score", "kept"])
 
     return df.select(*dict.fromkeys([*through, "text"])).mapInArrow(run, C.with_columns(df, through, "pattern int, label double, score double, kept boolean"))
 

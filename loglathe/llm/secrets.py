@@ -3,7 +3,7 @@
 One pass over the texts finds the base patterns' spans, the long candidate
 strings, and the pair counts of two first-order character models: random
 strings, learnt from the values that the patterns find, and ordinary words and
-identifiers, learnt from all other words.  The counts are two fixed tables.  A
+identifiers, learnt from all words but those and the candidates.  The counts are two fixed tables.  A
 candidate whose mean log-likelihood ratio a character is over the threshold is a
 further secret, of kind markov, unless it overlaps a base span.
 
@@ -56,7 +56,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def pair_counts(strings: list[bytes]) -> np.ndarray:
+def pair_counts(strings: list[bytes], edges: bool = True) -> np.ndarray:
     """How often each character follows each, with an edge before and after each string."""
     counts = np.zeros(N * N, np.int64)
     if strings:
@@ -65,6 +65,8 @@ def pair_counts(strings: list[bytes]) -> np.ndarray:
         at = np.cumsum([0, *(len(x) + 1 for x in strings)])
         s[at] = EDGE
         counts += np.bincount(s[:-1] * N + s[1:], minlength=N * N)
+        if not edges:
+            counts.reshape(N, N)[EDGE, :] = counts.reshape(N, N)[:, EDGE] = 0
     return counts
 
 
@@ -100,9 +102,9 @@ def find(df: DataFrame, through: tuple[str, ...] = ("doc_id",)) -> DataFrame:
                     values.append((ASSIGN.match(text, a)[2] if kind == "assign" else text[a:b]).encode())
                 rest = [m for m in CANDIDATE.finditer(text) if all(m.end() <= a or b <= m.start() for _, a, b in spans)]
                 candidates.append("\n".join(f"{m.start()}:{m.group()}" for m in rest))
-            counts = pair_counts(values)
-            secret += counts
-            ordinary -= counts  # these were counted as words
+            secret += pair_counts(values)
+            # these were counted as words; long strings without a label are in neither model
+            ordinary -= pair_counts(values + [m.partition(":")[2].encode() for c in candidates for m in (c.split("\n") if c else ())], edges=False)
             kinds = [batch.schema.field(c).type for c in through]
             none = pa.nulls(batch.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in through), pa.array(base), pa.array(candidates), none, none], [*through, "base", "candidates", "secret", "ordinary"])

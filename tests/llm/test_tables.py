@@ -20,7 +20,7 @@ def brute_vectors(rows, least=0.98):
     for a in range(n):
         for b in range(n):
             if a != b and good[a] and good[b] and rows[a][2] == rows[b][2] and len(rows[a][1]) == len(rows[b][1]):
-                x, y = (np.array(rows[i][1], np.float64) for i in (a, b))
+                x, y = (np.array(rows[i][1], np.float64) / np.abs(rows[i][1]).max() for i in (a, b))
                 links[a, b] = x @ y / np.sqrt((x @ x) * (y @ y)) >= least
     component = list(range(n))
     for a in range(n):

@@ -124,3 +124,13 @@ query("prefix_divergence", lambda s, d: Z.char_divergence(A.messages(s, d)), M +
 query("cache_miss_class", lambda s, d: Z.miss_classes(A.provider(s, d)), PROVIDER + """, l AS (SELECT *, lag(prompt) OVER (PARTITION BY session ORDER BY ordinal) AS prv FROM provider)
  SELECT CASE WHEN prv IS NULL THEN 'first' WHEN cache_read = 0 AND cache_write = 0 THEN 'unreported' WHEN cache_read = 0 THEN 'miss' WHEN cache_read / nullif(prv, 0)::DOUBLE >= 0.99 THEN 'hit' ELSE 'partial' END AS class,
  count(*) AS requests, CAST(sum(cache_read) AS BIGINT) AS read, CAST(sum(prompt) AS BIGINT) AS prompt FROM l GROUP BY 1""")
+
+
+def epoch_commit(s, d):
+    from ..policy import Policy
+    from .epoch import epochs
+
+    return epochs(A.messages(s, d), Policy.resolve(budget_tokens=500, consolidate_after=2, fresh_tail=0.1))
+
+
+query("epoch_commit", epoch_commit)

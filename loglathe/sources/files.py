@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions import scalars as X
@@ -13,7 +12,7 @@ PART = "struct<type:string,text:string,id:string,name:string,arguments:string>"
 USAGE = "struct<input:bigint,output:bigint,cacheRead:bigint,cacheWrite:bigint,reasoning:bigint,totalTokens:bigint,cost:struct<total:double>>"
 MESSAGE = f"struct<role:string,content:string,stopReason:string,toolCallId:string,toolName:string,isError:boolean,provider:string,model:string,errorMessage:string,timestamp:bigint,usage:{USAGE}>"
 #: A session's log, one entry a line; content stays JSON, as it is a string or a list of parts.
-ENTRY = T.StructType.fromDDL(f"id string, parentId string, type string, timestamp string, message {MESSAGE}, customType string, data string, summary string, fromId string, tokensBefore bigint")
+ENTRY = f"id string, parentId string, type string, timestamp string, message {MESSAGE}, customType string, data string, summary string, fromId string, tokensBefore bigint"
 
 #: Kinds of tools whose results are projected, and bytes from which.
 PROJECTED = {"bash": ("tail", 16_384), "read": ("head", 16_384), "agent": ("head", 24_576)}
@@ -21,18 +20,18 @@ MCP_BYTES = 16_384
 
 
 # ---------------------------------------------------------------------- scans
-def read_lines(spark: SparkSession, path: str, schema: T.StructType, strict: bool = True) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
     """JSON lines: a bad line fails the scan, or is left out."""
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
-def read_document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line: lines that are no JSON value."""
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
     return text.where("line <> '' and try_parse_json(line) is null").select("file", (F.col("n") + 1).alias("line"))
 
 

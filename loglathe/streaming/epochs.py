@@ -41,6 +41,7 @@ def epoch_stream(m: DataFrame, policy: Policy) -> DataFrame:
 
 def usage_stream(e: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Calls and value of each kind in each window of event time; later rows than ``late`` are dropped."""
+    e = e.withColumn("ts", F.col("ts").cast("timestamp"))
     w = e.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("calls"), F.sum("value").alias("value"))
     return w.select(F.col("window.start").alias("start"), "event_type", "calls", F.round("value", 6).alias("value"))
 

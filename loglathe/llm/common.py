@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Bytes of text handled at once; numpy temporaries take about 60 times as much.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C55  # odd, so invertible modulo 2**64
@@ -66,6 +66,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         n = batch.num_rows
         if not n:
             continue
+        pa.default_memory_pool().release_unused()
         size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).cast(pa.int64())))
         at = 0
         while at < n:

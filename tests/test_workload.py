@@ -1,0 +1,48 @@
+"""The seeded workload obeys its own laws."""
+
+import pytest
+
+from loglathe.plans import workload as K
+
+SEED = "0123456789abcdef"
+
+
+def test_facts_are_a_function_of_the_seed(spark):
+    a, b = K.ledger(SEED, K.Geometry()), K.ledger(SEED, K.Geometry())
+    assert a == b != K.ledger("f" * 16, K.Geometry())
+    values = [r[5] for r in a] + [r[4] for r in a if r[0] == "hop 1"]
+    assert len(values) == len(set(values)) and max(r[2] for r in a) <= 16
+
+
+def test_laws_of_the_ledger():
+    rows = K.ledger(SEED, K.Geometry())
+    chains: dict = {}
+    for kind, i, stage, hop, subject, value in rows:
+        if kind.startswith("hop"):
+            chains.setdefault(i, []).append((hop, stage, subject, value))
+    for links in chains.values():
+        links.sort()
+        assert all(b[1] - a[1] >= 4 and b[2] == a[3] for a, b in zip(links, links[1:]))
+    for bad in (K.Geometry(table=40), K.Geometry(gap=9), K.Geometry(corrections=8)):
+        with pytest.raises(ValueError):
+            K.ledger(SEED, bad)
+
+
+def test_corrections_supersede_and_chains_end(spark):
+    f = K.facts(spark, SEED)
+    rows = f.collect()
+    e = {(r["family"], r["subject"]): r for r in K.effective(f).collect()}
+    for r in rows:
+        if r["kind"] in ("correction", "reissue"):
+            own = e[("checksum" if r["kind"] == "correction" else "word", r["subject"])]
+            assert own["value"] == r["value"] and own["corrected"]
+    ends = {r["id"]: r["answer"] for r in K.answers(f).collect()}
+    assert ends == {r["id"]: r["value"] for r in rows if r["kind"] == "hop 3"}
+
+
+def test_sentences(spark):
+    f = K.facts(spark, SEED)
+    said = K.sentences(f).collect()
+    assert len(said) == f.count() and all(s["text"].endswith(".") for s in said)
+    first = [s["text"] for s in said if s["stage"] == 1 and s["n"] == 1][0]
+    assert first.startswith("Audit note: the code word for stage 01 is cw-")

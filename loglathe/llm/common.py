@@ -7,6 +7,7 @@ chunk at once.  Null texts count as empty everywhere.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -60,6 +61,15 @@ def tasks(spark: SparkSession) -> int:
 
 
 # ------------------------------------------------------------------ buffers
+def release() -> None:
+    """Give memory that a task no longer needs back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Split batches so that a piece holds about ``limit`` bytes of ``column``, one row at least."""
     for batch in batches:
@@ -74,6 +84,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             end = max(at + 1, int(np.searchsorted(size, done + limit, side="right")))
             yield batch.slice(at, end - at)
             at = end
+    release()
 
 
 def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -124,5 +124,6 @@ def linked(items: DataFrame, kernel: Callable[[list, list | None], np.ndarray])
             for to, got in zip(out, solve(rows)):
                 to += got
         yield flush()
+        C.release()
 
     return pairs.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "id long, links long, anchor long")

@@ -33,11 +33,12 @@ BRIEFS = VISIBLE + f""", b0 AS (SELECT v.*, {FIRST} AS line, (SELECT count(*) FR
 
 
 def forest(s, d):
-    return R.folds(A.messages(s, d))
+    """Used several times by each query: held, so that its windows run once."""
+    return R.folds(A.messages(s, d)).persist()
 
 
 def shown(s, d):
-    return R.visible(forest(s, d), EXPAND)
+    return R.visible(forest(s, d), EXPAND).persist()
 
 
 query("branch_walk", lambda s, d: R.branch(A.entries(s, d)), ANC + " SELECT * FROM br")

@@ -219,8 +219,8 @@ def test_rare_tokens_are_joined(odd, monkeypatch):
 
 
 def test_bits_are_the_codes():
-    start, length, nodes, bits = mixing.tree([5, 1, 1, 8, 2])
-    codes = [bits[a : a + n].tolist() for a, n in zip(start, length)]
+    start, length, path = mixing.tree([5, 1, 1, 8, 2])
+    codes = [(path[a : a + n] & 1).tolist() for a, n in zip(start, length)]
     assert sum(2.0**-n for n in length) == 1 and len(set(map(tuple, codes))) == 5 and length[3] == 1
 
 

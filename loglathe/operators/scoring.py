@@ -125,7 +125,7 @@ def counterbalanced(a: DataFrame) -> DataFrame:
     g = r.groupBy("label", "candidate").agg(F.round(F.avg(F.col("own") - F.col("score")), 6).alias("forward"), F.count("*").alias("n"))
     back = g.select(F.col("label").alias("candidate"), F.col("candidate").alias("label"), F.col("forward").alias("backward"))
     j = g.join(back, ["label", "candidate"]).where("label < candidate")
-    return j.select("label", "candidate", F.least("forward", "backward").alias("least"), F.round((F.col("forward") + F.col("backward")) / 2, 7).alias("mean"), ((F.col("forward") > 0) & (F.col("backward") > 0)).alias("both"))
+    return j.select("label", "candidate", F.least("forward", "backward").alias("least"), (F.round(F.col("forward") + F.col("backward"), 6) / 2).alias("mean"), ((F.col("forward") > 0) & (F.col("backward") > 0)).alias("both"))
 
 
 def positions(d: DataFrame) -> DataFrame:

@@ -108,6 +108,6 @@ query("contrast_lift", lambda s, d: S.contrasts(affine(s, d)), AFF + """, n AS (
 query("softmax_source", lambda s, d: S.softmax_sources(affine(s, d)), AFF + """, r AS (SELECT *, round(exp(score) / sum(exp(score)) OVER (PARTITION BY vec_id), 5) AS p0 FROM a),
  g AS (SELECT vec_id, max(p0) FILTER (candidate = label) AS p, max(score) FILTER (candidate = label) AS own, max(score) FILTER (candidate <> label) AS other FROM r GROUP BY vec_id) SELECT vec_id, p, round(own - other, 6) AS margin, own > other AS "right" FROM g""")
 query("counterbalanced_margin", lambda s, d: S.counterbalanced(affine(s, d)), AFF + """, o AS (SELECT vec_id, score AS own FROM a WHERE candidate = label), g AS (SELECT label, candidate, round(avg(own - score), 6) AS m FROM a JOIN o USING (vec_id) WHERE candidate <> label GROUP BY label, candidate)
- SELECT f.label, f.candidate, least(f.m, b.m) AS least, round((f.m + b.m) / 2, 7) AS mean, f.m > 0 AND b.m > 0 AS both FROM g f JOIN g b ON f.label = b.candidate AND f.candidate = b.label WHERE f.label < f.candidate""")
+ SELECT f.label, f.candidate, least(f.m, b.m) AS least, round(f.m + b.m, 6) / 2 AS mean, f.m > 0 AND b.m > 0 AS both FROM g f JOIN g b ON f.label = b.candidate AND f.candidate = b.label WHERE f.label < f.candidate""")
 query("rotation_cases", lambda s, d: S.rotations(table(s, d, "embeddings").select(F.col("label").alias("candidate"))), """WITH c AS (SELECT label AS candidate, row_number() OVER (ORDER BY label) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT label FROM embeddings))
  SELECT r AS rotation, ((i - r) % n + n) % n AS position, candidate FROM c, range(0, (SELECT count(*) FROM c)) t(r)""")

@@ -27,7 +27,7 @@ def plain(x):
     if isinstance(x, decimal.Decimal):
         return float(x)
     if isinstance(x, float):
-        return "nan" if math.isnan(x) else round(x, 6) + 0.0
+        return "nan" if math.isnan(x) else round(x, 7) + 0.0
     if isinstance(x, (list, tuple)):
         return tuple(plain(v) for v in x)
     if isinstance(x, datetime.datetime):

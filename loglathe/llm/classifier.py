@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,6 +165,16 @@ def fit_scorer(slots: np.ndarray, values: np.ndarray, per: np.ndarray, soft: np.
     return w, float(bias)
 
 
+def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """All numbers of a binary column, without copies of its cells."""
+    array = column.combine_chunks().cast(pa.large_binary())
+    if not len(array):
+        return np.zeros(0, kind)
+    _, offs, data = array.buffers()
+    offs = np.frombuffer(offs, np.int64)[array.offset : array.offset + len(array) + 1]
+    return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]].view(kind) if offs[-1] > offs[0] else np.zeros(0, kind)
+
+
 def label(df: DataFrame) -> DataFrame:
     """doc_id, pattern: every document's votes."""
 
@@ -199,13 +210,14 @@ def classify(df: DataFrame, least: float = LEAST, through: tuple[str, ...] = ("d
     # the documents of the smallest hashes, 9 / 10 of SAMPLE on average; the rest of SAMPLE is for chance
     share = int(min(1.0, 0.9 * SAMPLE / max(n, 1)) * (1 << 30))
     picked = df.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(11)), F.lit(1 << 30)) < share).select("doc_id", "text").mapInArrow(sample, "doc_id long, pattern int, slots binary, values binary").orderBy("doc_id").limit(SAMPLE).toArrow()
-    raw = lambda name, kind: np.frombuffer(b"".join(picked.column(name).to_pylist()), kind)
-    per = np.array([len(x) // 4 for x in picked.column("slots").to_pylist()], np.int64)
+    per = np.asarray(pc.binary_length(picked.column("slots").combine_chunks()), np.int64) // 4
     mixed = np.random.RandomState(5).permutation(len(per))
-    slots, values = raw("slots", np.int32), raw("values", np.float32)
+    slots, values = _joined(picked.column("slots"), np.int32), _joined(picked.column("values"), np.float32)
     begins = np.cumsum(per) - per
     goal = np.array([soft[p] for p in picked.column("pattern").to_pylist()])
     w, bias = fit_scorer(C.gather_spans(slots, begins[mixed], per[mixed]), C.gather_spans(values, begins[mixed], per[mixed]), per[mixed], goal[mixed])
+    del picked, slots, values
+    C.release()
     model = spark.sparkContext.broadcast((w, bias, soft))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,8 @@ from ..functions import scalars as X
 from .ledgers import share
 
 LEAST_OFFERS = 4
+#: Cases up to which the binomial tail reads logarithms of factorials from a table.
+TABLED = 60
 
 
 def at_thresholds(d: DataFrame) -> DataFrame:
@@ -65,13 +67,30 @@ def point_biserial(d: DataFrame) -> DataFrame:
 
 
 def binomial_tail(d: DataFrame, p: float) -> DataFrame:
-    """P(at least as many correct as seen) for each class and confidence under chance p, by logarithms of factorials up to the largest group."""
-    g = d.groupBy("class", "confidence").agg(F.count("*").alias("n"), F.count_if("correct").alias("s")).where("n <= 60")
-    logs = [math.lgamma(i + 1) for i in range(61)]
+    """P(at least as many correct as seen) for each class and confidence under chance p, for groups of any size.
+
+    Terms come from logarithms of factorials up to TABLED cases, and from
+    Loader's saddle-point form above, whose error does not grow with n.
+    """
+    g = d.groupBy("class", "confidence").agg(F.count("*").alias("n"), F.count_if("correct").alias("s"))
+    n, x = F.col("n"), F.col("n").cast("double")
+    logs = [math.lgamma(i + 1) for i in range(TABLED + 1)]
     table = F.array(*map(F.lit, logs))
     at = lambda i: F.get(table, i.cast("int"))
-    term = lambda k: F.exp(at(F.col("n")) - at(k) - at(F.col("n") - k) + k * math.log(p) + (F.col("n") - k) * math.log(1 - p))
-    tail = F.aggregate(F.sequence(F.col("s"), F.col("n")), F.lit(0.0), lambda acc, k: acc + term(k))
+    small = lambda k: at(n) - at(k) - at(n - k) + k * math.log(p) + (n - k) * math.log(1 - p)
+    rest = F.array(F.lit(0.0), *(F.lit(v - (i + 0.5) * math.log(i) + i - 0.5 * math.log(2 * math.pi)) for i, v in enumerate(logs) if i))
+    beyond = lambda i: F.when(i <= TABLED, F.get(rest, i.cast("int"))).otherwise((1 / 12 - (1 / 360 - 1 / 1260 / (i * i)) / (i * i)) / i)  # noqa: E731  what Stirling's formula lacks
+    away = lambda i, mean: i * F.log1p((i - mean) / mean) - (i - mean)
+
+    def large(k):
+        i, j = k.cast("double"), (n - k).cast("double")
+        inner = beyond(x) - beyond(i) - beyond(j) - away(i, x * p) - away(j, x * (1 - p)) + 0.5 * F.log(x / (2 * math.pi * i * j))
+        return F.when(k == 0, x * math.log1p(-p)).when(k == n, x * math.log(p)).otherwise(inner)
+
+    term = lambda k: F.exp(F.when(n <= TABLED, small(k)).otherwise(large(k)))
+    # terms further than 20 roots of n from the mean are below exp(-800), which is 0 as a double
+    first, last = F.greatest(F.col("s"), F.floor(x * p - 20 * F.sqrt(x))), F.least(n, F.ceil(x * p + 20 * F.sqrt(x)))
+    tail = F.when(first > last, F.lit(0.0)).otherwise(F.aggregate(F.sequence(first, F.greatest(first, last)), F.lit(0.0), lambda acc, k: acc + term(k)))
     return g.select("class", "confidence", "n", "s", F.round(tail, 6).alias("tail"))
 
 

@@ -66,23 +66,24 @@ def topology(o: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------- projections
-def successive(e: DataFrame, width: int = 32) -> DataFrame:
-    """Projections after each event: the numbers of the first events since the last commit, and the projection before."""
+def successive(e: DataFrame) -> DataFrame:
+    """Projections after each event, which show all events since the last commit: rows of the one before and of this one, and how many first rows they share.
+
+    Within an island each projection is the one before and a row more; where a
+    new one begins, only its single row can be the first of the last island's.
+    """
     island = F.count_if(F.col("kind") == "purchase").over(BY())
-    r = e.withColumn("island", island)
     own = W.partitionBy("session", "island").orderBy("ordinal")
-    r = r.withColumn("n", F.row_number().over(own))
-    # a projection shows the first rows of its island, so that no list grows with the session
-    r = r.withColumn("next", F.collect_list(F.when(F.col("n") <= width, F.col("k"))).over(own.rowsBetween(W.unboundedPreceding, 0)))
-    return r.withColumn("previous", F.lag("next").over(BY())).where("previous is not null").select("session", "ordinal", "kind", "previous", "next")
+    r = e.withColumn("island", island).withColumn("n", F.row_number().over(own).cast("bigint")).withColumn("head", F.first("k").over(own))
+    r = r.withColumn("before", F.lag("n").over(BY())).withColumn("old", F.lag("head").over(BY())).where("before is not null")
+    common = F.when(F.col("n") > 1, F.col("before")).when(F.col("k").eqNullSafe(F.col("old")), 1).otherwise(0).cast("bigint")
+    return r.select("session", "ordinal", "kind", common.alias("common"), "before", F.col("n").alias("after"))
 
 
 def changes(p: DataFrame) -> DataFrame:
     """identical, append or rewrite, and the first index that differs."""
-    common = X.prefix_length(F.col("previous"), F.col("next"))
-    r = p.withColumn("common", common)
-    kind = F.when((F.col("common") == F.size("previous")) & (F.col("common") == F.size("next")), "identical").when(F.col("common") == F.size("previous"), "append").otherwise("rewrite")
-    return r.select("session", "ordinal", kind.alias("change"), "common", F.size("previous").cast("bigint").alias("before"), F.size("next").cast("bigint").alias("after"))
+    kind = F.when((F.col("common") == F.col("before")) & (F.col("common") == F.col("after")), "identical").when(F.col("common") == F.col("before"), "append").otherwise("rewrite")
+    return p.select("session", "ordinal", kind.alias("change"), "common", "before", "after")
 
 
 def change_rollup(p: DataFrame) -> DataFrame:

@@ -1,11 +1,11 @@
-"""Groups beyond the sizes of the provided tables, against exact figures."""
+"""Groups and projections beyond the sizes of the provided tables, against exact figures."""
 
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from loglathe.operators import scoring
+from loglathe.operators import scoring, states
 
 
 @pytest.mark.parametrize("p", [0.5, 0.2])
@@ -18,3 +18,20 @@ def test_binomial_tail_of_groups_of_any_size(spark, p):
     for n, s, i in groups:
         exact = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p)) for k in range(s, n + 1))
         assert got[i][:2] == (n, s) and abs(got[i][2] - exact) < 1.1e-6
+
+
+def test_projections_longer_than_32_events(spark):
+    kinds = ["view"] * 50 + ["purchase"] + ["view"] * 40 + ["purchase", "purchase", "purchase"]
+    ks = list(range(50)) + [0] + list(range(40)) + [7, 7, 8]
+    e = spark.createDataFrame([(1, i + 1, kind, k) for i, (kind, k) in enumerate(zip(kinds, ks))], "session long, ordinal long, kind string, k long")
+    shown, want = [], {}
+    for i, (kind, k) in enumerate(zip(kinds, ks)):
+        before, shown = shown, ([k] if kind == "purchase" else shown + [k])
+        if i:
+            common = next((j for j, (a, b) in enumerate(zip(before, shown)) if a != b), min(len(before), len(shown)))
+            change = "rewrite" if common < len(before) else "append" if common < len(shown) else "identical"
+            want[i + 1] = (change, common, len(before), len(shown))
+    got = {r["ordinal"]: (r["change"], r["common"], r["before"], r["after"]) for r in states.changes(states.successive(e)).collect()}
+    assert got == want
+    n = {r["change"]: (r["n"], r["common"]) for r in states.change_rollup(states.successive(e)).collect()}
+    assert n == {c: (sum(x[0] == c for x in want.values()), sum(x[1] for x in want.values() if x[0] == c)) for c in ("append", "rewrite", "identical")}

@@ -12,12 +12,15 @@ arguments, after), one with "tool_call_id" a result.  In plain conversations a
 user's turn is a call of the tool "reply", and the assistant's next turn its
 result.
 
-Defined results: repeated rows count once; where one turn has several texts the
-smallest counts; a null conversation is one of its own; null texts are empty;
-a call without result is "unanswered", a result without call "orphan", other
-messages "message"; calls that wait for each other are "cyclic" and have no
-depth; arguments that are not JSON are invalid; tables without rows give no
-rows; extra columns are ignored.
+Defined results: wholly equal rows count once, and every distinct message has a
+line or is the result in one; where one turn has several texts, the smallest
+role is the one that neighbours see; a null conversation is one of its own;
+null texts are empty; a call without result is "unanswered", a result without
+call "orphan", other messages "message"; of several calls or several results
+with one identifier the first by turn, part and content is linked, and the
+others are "repeated", with lines of their own and without depth; calls that
+wait for each other are "cyclic" and have no depth; arguments that are not JSON
+are invalid; tables without rows give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,16 +85,19 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-EVENTS = "conv_id long, turn long, part int, kind string, call_id string, tool string, arguments string, after string, output string, role string"
+EVENTS = "conv_id long, turn long, part int, kind string, call_id string, tool string, arguments string, after string, output string, role string, message long"
 
 
 def events(messages: DataFrame) -> DataFrame:
     """EVENTS: a row for each call, result or other message of conversations (conv_id, turn, role, text)."""
-    once = messages.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m")).select("conv_id", "turn", "m.role", "m.text")
-    light = once.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("role").alias("role_before"))
-    one = once.join(light, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") - 1 == F.col("t")), "left").drop("c", "t")
+    once = messages.select("conv_id", "turn", "role", "text").distinct()
+    once = once.withColumn("message", F.xxhash64("role", F.col("text").isNull(), "text"))
+    light = messages.where("turn is not null").groupBy("conv_id", "turn").agg(F.min(F.struct("role")).alias("m")).select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("m.role").alias("role_before"))
+    one = once.where("turn is not null").join(light, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") - 1 == F.col("t")), "left").drop("c", "t")
     two = light.withColumnRenamed("role_before", "role_before2")
-    both = one.join(two, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") - 2 == F.col("t")), "left").select("conv_id", "turn", "role", "text", "role_before", "role_before2")
+    both = one.join(two, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") - 2 == F.col("t")), "left").select("conv_id", "turn", "role", "text", "role_before", "role_before2", "message")
+    # rows without a turn have no neighbours and are not joined, as they would all meet in one task
+    both = both.unionByName(once.where("turn is null").select("conv_id", "turn", "role", "text", F.lit(None).cast("string").alias("role_before"), F.lit(None).cast("string").alias("role_before2"), "message"))
 
     def rows(conv, turn, role, text, before, before2) -> Iterator[tuple]:
         text = text or ""
@@ -120,11 +126,11 @@ def events(messages: DataFrame) -> DataFrame:
             yield conv, turn, 0, "message", None, None, None, None, text, role
 
     names = [x.split()[0] for x in EVENTS.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int32(), *[pa.string()] * 7]
+    types = [pa.int64(), pa.int64(), pa.int32(), *[pa.string()] * 7, pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [r for row in zip(*(c.to_pylist() for c in batch.columns)) for r in rows(*row)]
+            found = [(*r, message) for *row, message in zip(*(c.to_pylist() for c in batch.columns)) for r in rows(*row)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found), types)], names)
 
@@ -151,19 +157,24 @@ def depths(calls: DataFrame) -> DataFrame:
 
 
 def link(found: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
-    """conv_id, turn, part, call_id, status, depth, valid, errors, line: one row for each call, orphan result or other message."""
+    """conv_id, turn, part, call_id, status, depth, valid, errors, line: one row for each call, orphan or repeated result, or other message."""
     spark = found.sparkSession
-    calls = found.where("kind = 'call'").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "part", "tool", "arguments", "after", "role")).alias("x")).select("conv_id", "call_id", "x.*")
-    calls = C.stored(calls, "calls")
-    results = found.where("kind = 'result' and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "part", "output", "role")).alias("r"))
-    results = results.select(F.col("conv_id").alias("rc"), F.col("call_id").alias("ri"), "r")
+    named = found.where("kind = 'call' or kind = 'result' and call_id is not null")
+    order = F.struct("turn", "part", "tool", "arguments", "after", "output", "role", "message")
+    first = C.stored(named.groupBy("conv_id", "kind", "call_id").agg(F.min(order).alias("x"), F.count("*").alias("n")), "first")
+    calls = first.where("kind = 'call'").select("conv_id", "call_id", "x.*")
+    results = first.where("kind = 'result'").select(F.col("conv_id").alias("rc"), F.col("call_id").alias("ri"), F.col("x").alias("r"))
     same = F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col("call_id") == F.col("ri"))
     depth = depths(calls).select(F.col("conv_id").alias("dc"), F.col("call_id").alias("di"), "depth")
     full = calls.join(results.hint("shuffle_hash"), same, "left").join(depth, F.col("conv_id").eqNullSafe(F.col("dc")) & (F.col("call_id") == F.col("di")))
     linked = full.select("conv_id", "turn", "part", "call_id", F.when(F.col("depth").isNull(), "cyclic").when(F.col("r").isNull(), "unanswered").otherwise("linked").alias("status"), "depth", "tool", "arguments", F.col("r.output").alias("output"), "role")
     orphans = results.join(calls.select("conv_id", "call_id"), same, "left_anti").select(F.col("rc").alias("conv_id"), "r.turn", "r.part", F.col("ri").alias("call_id"), F.lit("orphan").alias("status"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("string").alias("tool"), F.lit(None).cast("string").alias("arguments"), "r.output", "r.role")
+    # only identifiers that occur more than once are joined with their messages
+    several = first.where("n > 1").select(F.col("conv_id").alias("sc"), F.col("kind").alias("sk"), F.col("call_id").alias("si"), "x")
+    again = named.join(several, F.col("conv_id").eqNullSafe(F.col("sc")) & (F.col("kind") == F.col("sk")) & (F.col("call_id") == F.col("si"))).where(~order.eqNullSafe(F.col("x")))
+    again = again.select("conv_id", "turn", "part", "call_id", F.lit("repeated").alias("status"), F.lit(None).cast("long").alias("depth"), "tool", "arguments", "output", "role")
     rest = found.where("kind = 'message' or kind = 'result' and call_id is null").select("conv_id", "turn", "part", "call_id", F.when(F.col("kind") == "message", "message").otherwise("orphan").alias("status"), F.lit(None).cast("long").alias("depth"), "tool", "arguments", "output", "role")
-    every = linked.unionByName(orphans).unionByName(rest)
+    every = linked.unionByName(orphans).unionByName(again).unionByName(rest)
     shared = spark.sparkContext.broadcast(schemas)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

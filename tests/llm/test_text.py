@@ -280,6 +280,24 @@ def test_chats(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string, depth int")).count() == 0
 
 
+def test_every_distinct_message_has_a_line(spark):
+    tool = lambda i, content: json.dumps({"tool_call_id": i, "content": content})
+    calls = lambda i, x: json.dumps({"tool_calls": [{"id": i, "name": "reply", "arguments": {"text": x}}]})
+    rows = [
+        (1, 0, "assistant", calls("a", "one")), (1, 1, "tool", tool("a", "first")), (1, 1, "tool", tool("a", "second")), (1, 1, "tool", tool("a", "second")), (1, 2, "tool", tool("a", "third")),
+        (1, 3, "assistant", calls("a", "two")), (1, 4, "tool", tool("zz", "x")), (1, 4, "tool", tool("zz", "y")), (2, 1, "user", "p"), (2, 1, "user", "q"), (2, 2, "assistant", "r"),
+        *((None, None, "user", f"lost {i}") for i in range(40)), *((None, 5, "system", f"note {i}") for i in range(40)), *((3, None, "assistant", f"said {i}") for i in range(40)), (None, None, "user", "lost 1"),
+    ]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    lines = [json.loads(r["line"]) for r in got]
+    assert len({r["line"] for r in got}) == len(got) == 128
+    seen = sorted((x.get("call", {}).get("id"), x["status"], x.get("content") or x["call"]["arguments"]["text"]) for x in lines if x["conversation"] in (1, 2))
+    assert seen == [("a", "linked", "first"), ("a", "repeated", "second"), ("a", "repeated", "third"), ("a", "repeated", "two"), ("turn-1", "linked", "r"), ("turn-1", "repeated", "q"), ("zz", "orphan", "x"), ("zz", "repeated", "y")]
+    assert all(r["depth"] is None for r in got if r["status"] == "repeated")
+    texts = {x.get("content") for x in lines if x["conversation"] not in (1, 2)}
+    assert texts == {f"{w} {i}" for w in ("lost", "note", "said") for i in range(40)}
+
+
 def test_every_message_is_formatted_once(spark):
     messages = C.table(spark, SF, "conversations")
     lines = chat.op7_chat_formatting(spark, SF).toPandas()

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import json
 import math
+import random
 import re
 import zlib
 
@@ -16,7 +17,7 @@ from tokenizers import Tokenizer
 from loglathe.llm import bpe, chat, classifier, minhash, mixing, packing, quality, secrets
 from loglathe.llm import common as C
 
-from .conftest import SF
+from .conftest import SF, prose
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -132,6 +133,27 @@ def test_kneser_ney_prefers_its_language():
     assert mean("the brother gathered there") > mean("zq$$ xkcd ##vvw qqj")
 
 
+def test_each_band_rejects(spark):
+    rng = random.Random(5)
+    words = lambda letters, size, n: " ".join("".join(rng.choice(letters) for _ in range(size)) for _ in range(n))
+    texts = {lang: [prose(rng, 200) for _ in range(n)] + [words("aeioulnrst", 7, 80), words("0123456789", 12, 80)] for lang, n in (("en", 60), ("xx", 20), (None, 5))}
+    rows = [(100 * k + i, t, lang) for k, (lang, own) in enumerate(texts.items()) for i, t in enumerate(own)]
+    got = by_id(quality.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert not any(r["base_failed"] for r in got.values()) and all(r["lower"] < r["upper"] for r in got.values())
+    for k, own in enumerate(texts.values()):
+        high, low = got[100 * k + len(own) - 2], got[100 * k + len(own) - 1]
+        assert high["perplexity"] > high["upper"] and low["perplexity"] < low["lower"] and not high["kept"] and not low["kept"]
+        assert sum(got[100 * k + i]["kept"] for i in range(len(own) - 2)) >= 0.9 * (len(own) - 2)
+
+
+def test_bands_reject_labelled_junk_and_keep_clean_text(spark):
+    docs, labels = C.table(spark, "/root/testdata/sf0.01", "documents"), C.table(spark, "/root/testdata/sf0.01", "labels")
+    got = quality.rules(docs).join(labels, "doc_id").toPandas()  # labels are used for nothing else
+    got = got[~got.base_failed]
+    good, bad = got[got.quality == 1], got[got.quality == 0]
+    assert good.kept.mean() > 0.97 and bad.kept.mean() < 0.5
+
+
 # ------------------------------------------------------------------------ 8
 def test_classifier_finds_the_labels(spark, odd, none):
     docs, labels = C.table(spark, "/root/testdata/sf0.01", "documents"), C.table(spark, "/root/testdata/sf0.01", "labels")

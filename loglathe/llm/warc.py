@@ -184,6 +184,15 @@ def _lines(raw: bytes) -> list[tuple]:
     return out
 
 
+def blocks_of(firsts: list[str], lasts: list[str], keys: list[str]) -> dict[int, list[str]]:
+    """The blocks that can hold each key, by halving: blocks are in order, and keys that occur often can fill several."""
+    found: dict[int, list[str]] = {}
+    for k in keys:
+        for i in range(bisect.bisect_left(lasts, k), bisect.bisect_right(firsts, k)):
+            found.setdefault(i, []).append(k)
+    return found
+
+
 def read_index(directory: DataFrame, folder: str, urls: list[str] | None = None) -> DataFrame:
     """Captures that the index holds, all of them or those of the given urls (a short list)."""
     wanted = sorted({url_key(u) for u in urls}) if urls is not None else None
@@ -191,17 +200,15 @@ def read_index(directory: DataFrame, folder: str, urls: list[str] | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = _open(folder)
         for batch in batches:
-            for first, last, file, offset, length, _ in zip(*(c.to_pylist() for c in batch.columns)):
-                if wanted is not None:
-                    i = bisect.bisect_left(wanted, first)
-                    here = wanted[i : bisect.bisect_right(wanted, last)]
-                    if not here:
-                        continue
+            blocks = sorted(zip(*(c.to_pylist() for c in batch.columns)))
+            here = blocks_of([b[0] for b in blocks], [b[1] for b in blocks], wanted) if wanted is not None else {}
+            for i in range(len(blocks)) if wanted is None else sorted(here):
+                _, _, file, offset, length, _ = blocks[i]
                 with system.open_input_file(f"{path}/{file}") as f:
                     rows = _lines(f.read_at(length, offset))
                 if wanted is not None:
                     keys = [r[0] for r in rows]
-                    rows = [r for k in here for r in rows[bisect.bisect_left(keys, k) : bisect.bisect_right(keys, k)]]
+                    rows = [r for k in here[i] for r in rows[bisect.bisect_left(keys, k) : bisect.bisect_right(keys, k)]]
                 if rows:
                     yield _captures(rows)
 

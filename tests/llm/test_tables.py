@@ -1,6 +1,7 @@
 """Vectors, archives and the pipeline."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -106,6 +107,24 @@ def test_archives(spark, monkeypatch):
     assert warc.write_index(empty, folder).count() == 0
 
 
+def test_directory_is_searched_by_halving():
+    class Counted(str):
+        n = 0
+
+        def __lt__(self, other):
+            Counted.n += 1
+            return str.__lt__(self, other)
+
+    rng = random.Random(4)
+    keys = sorted(f"k{rng.randint(0, 3000):05}" for _ in range(8000))
+    blocks = [keys[i : i + 2] for i in range(0, len(keys), 2)]
+    firsts, lasts = [Counted(b[0]) for b in blocks], [Counted(b[-1]) for b in blocks]
+    for key in (keys[0], keys[-1], keys[4001], "a", "z", "k00000x"):
+        Counted.n = 0
+        assert list(warc.blocks_of(firsts, lasts, [Counted(key)])) == [i for i, b in enumerate(blocks) if str(b[0]) <= key <= str(b[-1])]
+        assert Counted.n < 40
+
+
 # ----------------------------------------------------------------- pipeline
 def test_pipeline(spark, odd, none):
     docs = odd

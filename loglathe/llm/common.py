@@ -17,15 +17,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text handled at once; numpy temporaries take about 60 times as much.
 CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C55  # odd, so invertible modulo 2**64
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
+_BASE = 0x9E3779B97F4A7C55  # odd
+#: Hashes of spans are polynomials over the field of this prime, at two points.
+_PRIME, _POINTS = (1 << 31) - 1, (0x3C6EF372, 0x1B873593)
+#: Bytes up to which sums of products stay under 64 bits.
+_SUMMED = 1 << 23
+_powers: dict[int, np.ndarray] = {}
 
 
 # ------------------------------------------------------------------ storage
@@ -56,6 +60,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote and that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for file in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+def numbered(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns, stored, and ``row``, a number of its own for each row, whatever its identifier."""
+    return stored(df.select(F.monotonically_increasing_id().alias("row"), *columns), "rows")
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], size: int, share: int = 1000) -> DataFrame:
+    """Inner join with ``right``, one row a key, whose ``c`` counts the key's rows in ``left`` (``size`` rows).
+
+    Keys with more than one row in ``share`` are at most ``share``, so they are
+    broadcast and their rows stay where they are; only the others are shuffled.
+    """
+    hot = right.where(F.col("c") * share > F.lit(size))
+    known = F.broadcast(hot.select(*on))
+    few = left.join(F.broadcast(hot.drop("c")), on)
+    rest = left.join(known, on, "left_anti").join(right.where(F.col("c") * share <= F.lit(size)).drop("c"), on)
+    return few.unionByName(rest)
+
+
 def tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
@@ -128,15 +158,18 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, per
 
 
-def _power(kind: str, base: int, n: int) -> np.ndarray:
-    have = _powers.get(kind)
+def _power(point: int, n: int) -> np.ndarray:
+    """The first n powers of a point, modulo the prime."""
+    have = _powers.get(point)
     if have is None or len(have) < n:
-        with np.errstate(over="ignore"):
-            have = np.empty(max(n, CHUNK_BYTES + 4096), _U)
-            have[0] = 1
-            have[1:] = _U(base)
-            np.multiply.accumulate(have, out=have)
-        _powers[kind] = have
+        size = max(n, CHUNK_BYTES + 4096)
+        have = np.ones(size, _U)
+        done, step = 1, point
+        while done < size:
+            more = min(done, size - done)
+            have[done : done + more] = have[:more] * _U(step) % _U(_PRIME)
+            done, step = done + more, step * step % _PRIME
+        _powers[point] = have
     return have[:n]
 
 
@@ -150,14 +183,34 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> _U(31))
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, 2**31 - 1: bits above are added to those below."""
+    x = (x & _U(_PRIME)) + (x >> _U(31))
+    x = (x & _U(_PRIME)) + (x >> _U(31))
+    x[x >= _U(_PRIME)] -= _U(_PRIME)
+    return x
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span's content; a function of the content alone."""
+    """64-bit hash of each span's content; a function of the content alone.
+
+    Two polynomials over a prime field and the length: unlike one modulo 2**64,
+    no pattern of bytes makes many spans collide.
+    """
     n = len(data)
+    x = data.astype(_U)
+    x += _U(1)
+    both = np.zeros(len(starts), _U)
+    terms, sums = np.empty(n, _U), np.zeros(n + 1, _U)
+    for point in _POINTS:
+        np.multiply(x, _power(point, n), out=terms)
+        if n > _SUMMED:
+            terms %= _U(_PRIME)
+        np.cumsum(terms, out=sums[1:])
+        h = _reduced(_reduced(sums[ends] - sums[starts]) * _power(pow(point, -1, _PRIME), n + 1)[starts])
+        both = both << _U(31) | h
     with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, _U)
-        np.cumsum((data.astype(_U) + _U(1)) * _power("up", _BASE, n), out=sums[1:])
-        h = (sums[ends] - sums[starts]) * _power("down", _BASE_INV, n + 1)[starts]
-        return mix(h + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+        return mix(both + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
 def window_hash(h: np.ndarray, k: int) -> np.ndarray:

@@ -27,16 +27,18 @@ def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
     ``edges``: columns u, v (long), in either direction, repeated or not.
     """
     e = C.stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
+    before = size = None
     for _ in range(most_steps):
+        size = 2 * (e.count() if size is None else before[0])
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(least, "u").select("u", "v", "m")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+        large = C.hot_join(both.where("v > u"), least, ["u"], size).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        near = C.hot_join(large, least, ["u"], size).select("u", "v", "m")
         small = near.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e = C.stored(small, "edges")
+        past, e = e, C.stored(small, "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(0x7FFFFFFF))).first()
+        C.discard(past)
         if now == before:
             break
         before = now
@@ -45,10 +47,17 @@ def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def leads(members: DataFrame, least: str) -> DataFrame:
+    """``members`` (id, root, and a column ``least``) with the smallest of that column in their component as ``lead``."""
+    firsts = members.groupBy("root").agg(F.min(least).alias("lead"), F.count("*").alias("c"))
+    return C.hot_join(members, firsts, ["root"], members.count())
+
+
 def cut(members: DataFrame, rows: int = BLOCK_ROWS, cost: int = BLOCK_COST) -> DataFrame:
     """``members`` (id, root, weight, cost) with their component's number of blocks and their own block."""
     need = F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("cost") / cost)).cast("int")
-    return members.join(members.groupBy("root").agg(need.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    counted = members.groupBy("root").agg(need.alias("blocks"), F.count("*").alias("c"))
+    return C.hot_join(members, counted, ["root"], members.count()).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
 
 def spanning(adjacent: np.ndarray) -> np.ndarray:

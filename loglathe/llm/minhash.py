@@ -10,8 +10,9 @@ shingles, large components in blocks.
 
 Defined results: null texts and texts without words have no shingles, link
 with nothing and are kept; equal texts are one class; repeated rows are
-copies (doc_id is a key: other text under the same one is not told apart); tables without rows give no rows; extra columns
-are ignored.
+copies, of which one is kept; other text under a repeated doc_id is a document
+of its own; a null doc_id represents a class or component only where it has no
+other; tables without rows give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signatures(df: DataFrame, bands: int, rows: int, size: int = WORDS) -> DataFrame:
-    """doc_id, s1, s2 (hashes of the set of shingles), n, bands (a hash each; null without shingles)."""
+    """row, doc_id, s1, s2 (hashes of the set of shingles), n, bands (a hash each)."""
     seeds = np.random.RandomState(7).randint(1, 1 << 31, bands * rows).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,9 +98,9 @@ def signatures(df: DataFrame, bands: int, rows: int, size: int = WORDS) -> DataF
                             h = h * np.uint64(C._BASE) + np.minimum.reduceat(x, at)
                         keys[some, b] = C.mix(h)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bands, pa.int32()), pa.array(C.signed(keys.reshape(-1))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(C.signed(s1)), pa.array(C.signed(s2)), pa.array(n, pa.int64()), lists], ["doc_id", "s1", "s2", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(C.signed(s1)), pa.array(C.signed(s2)), pa.array(n, pa.int64()), lists], ["row", "doc_id", "s1", "s2", "n", "bands"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, s1 long, s2 long, n long, bands array<long>")
+    return df.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, s1 long, s2 long, n long, bands array<long>")
 
 
 def jaccard(similarity: float):
@@ -139,19 +140,24 @@ def neighbours(df: DataFrame, similarity: float = SIMILARITY, recall: float = RE
 
     class_id: the smallest doc_id with the same set of shingles; n_links: other
     documents of at least that similarity, copies included; component_id: the
-    smallest doc_id that links reach; kept: whether that is its own.
+    smallest doc_id that links reach; kept: one row of each component, the first
+    with that doc_id.
     """
+    return of_rows(C.numbered(df, "doc_id", "text"), similarity, recall, size).drop("row")
+
+
+def of_rows(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, size: int = WORDS) -> DataFrame:
+    """``neighbours`` of a stored table with a column ``row`` that numbers its rows; the result has it too."""
     bands, rows = banding(similarity, recall)
-    sig = C.stored(signatures(df, bands, rows, size), "signatures")
+    sig = C.stored(signatures(docs, bands, rows, size), "signatures")
     some = sig.where("n > 0")
-    classes = C.stored(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight"), F.max("n").alias("cost")), "classes")
-    lead = classes.select("id", "weight", "cost", "s1", "s2")
-    banded = some.select(F.col("doc_id").alias("id"), "s1", "s2", "bands").join(lead.select("id", "s1", "s2"), ["id", "s1", "s2"]).dropDuplicates(["id", "s1", "s2"]).select("id", F.posexplode("bands").alias("band", "key"))
-    banded = C.stored(banded, "bands")
-    full = banded.groupBy("band", "key").agg(F.min("id").alias("v"), F.count("*").alias("c")).where("c > 1").select("band", "key", "v")
-    stars = banded.join(full, ["band", "key"]).where("id <> v").select(F.col("id").alias("u"), "v").distinct()
+    mine = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")  # null identifiers last
+    classes = C.stored(some.select("s1", "s2", "row", "n", mine.alias("mine")).groupBy("s1", "s2").agg(F.min("row").alias("id"), F.min("mine").alias("own"), F.count("*").alias("weight"), F.max("n").alias("cost")), "classes")
+    banded = C.stored(some.select("row", "bands").join(classes.select(F.col("id").alias("row")), "row").select(F.col("row").alias("id"), F.posexplode("bands").alias("band", "key")), "bands")
+    full = banded.groupBy("band", "key").agg(F.min("id").alias("v"), F.count("*").alias("c")).where("c > 1")
+    stars = C.hot_join(banded, full, ["band", "key"], banded.count()).where("id <> v").select(F.col("id").alias("u"), "v").distinct()
     found = graph.components(stars)
-    members = lead.join(found.withColumnRenamed("node", "id"), "id").select("id", "s1", "s2", "root", "weight", "cost")
+    members = C.stored(classes.select("id", "weight", "cost").join(found.withColumnRenamed("node", "id"), "id").select("id", "root", "weight", "cost"), "members")
     placed = graph.cut(members)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,14 +168,17 @@ def neighbours(df: DataFrame, similarity: float = SIMILARITY, recall: float = RE
             payload = pa.array([raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "root", "weight", "blocks", "block")), payload], ["id", "root", "weight", "blocks", "block", "payload"])
 
-    texts = df.select(F.col("doc_id").alias("id"), "text").join(placed, "id").select("id", "root", "weight", "blocks", "block", "text")
+    texts = docs.select(F.col("row").alias("id"), "text").join(placed, "id").select("id", "root", "weight", "blocks", "block", "text")
     items = texts.mapInArrow(pack, "id long, root long, weight long, blocks int, block int, payload binary").where(F.length("payload") > 0)
     links = C.stored(graph.linked(items, jaccard(similarity)), "links")
     counted = links.groupBy("id").agg(F.sum("links").alias("links"))
-    joined = graph.components(links.select(F.col("id").alias("u"), F.col("anchor").alias("v"))).select(F.col("node").alias("id"), F.col("root").alias("component"))
-    ends = lead.join(counted, "id", "left").join(joined, "id", "left").select("s1", "s2", F.col("id").alias("class_id"), F.col("weight").alias("class_size"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    alone = sig.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
-    return some.select("doc_id", "s1", "s2").join(ends, ["s1", "s2"]).drop("s1", "s2").unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    joined = graph.components(links.select(F.col("id").alias("u"), F.col("anchor").alias("v"))).select(F.col("node").alias("id"), "root")
+    # classes that link with no other are their own components
+    reached = C.stored(classes.join(counted, "id", "left").join(joined, "id", "left").select("s1", "s2", "id", F.coalesce("root", "id").alias("root"), "own", "weight", F.coalesce("links", F.lit(0)).alias("links")), "reached")
+    ends = graph.leads(reached, "own").select("s1", "s2", F.col("own.doc_id").alias("class_id"), F.col("weight").alias("class_size"), (F.col("links") + F.col("weight") - 1).alias("n_links"), F.col("lead.doc_id").alias("component_id"), F.col("lead.row").alias("first"))
+    linked = some.select("row", "doc_id", "s1", "s2").join(ends, ["s1", "s2"]).withColumn("kept", F.col("row") == F.col("first")).drop("s1", "s2", "first")
+    alone = sig.where("n = 0").select("row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.unionByName(alone)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,9 @@ each, are recomputed exactly in double precision, large ones in blocks.
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components, and rows whose label is null, link with nothing and are kept;
 vectors of other lengths never link; repeated rows are copies of each other;
-tables without rows give no rows; extra columns are ignored.
+other vectors under a repeated vec_id are vectors of their own, all kept if that
+is their component's smallest; a null vec_id is a component's only where it has
+no other; tables without rows give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -187,14 +189,14 @@ def neighbours(df: DataFrame, least: float = COSINE) -> DataFrame:
     good = base.where(F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
     # -0.0 + 0.0 is 0.0, so that equal vectors have equal digests
     digest = F.sha2(F.concat_ws(",", F.transform("vector", lambda x: (x + F.lit(0.0)).cast("string"))), 256)
-    keyed = C.stored(good.select("vec_id", "label", "vector", digest.alias("digest")), "vectors")
-    classes = C.stored(keyed.groupBy("label", "digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")), "classes")
-    lead = C.stored(keyed.join(classes.select(F.col("id").alias("vec_id"), "label", "digest", "weight"), ["vec_id", "label", "digest"]).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("id"), "label", "vector", "weight"), "lead")
+    keyed = C.stored(good.select(F.monotonically_increasing_id().alias("row"), "vec_id", "label", "vector", digest.alias("digest")), "vectors")
+    classes = C.stored(keyed.groupBy("label", "digest").agg(F.min("row").alias("id"), F.min("vec_id").alias("least"), F.count("*").alias("weight")), "classes")
+    lead = C.stored(keyed.select(F.col("row").alias("id"), "label", "vector").join(classes.select("id", "weight"), "id"), "lead")
     most = lead.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, keys = keying(most, least)
     pairs = undecided(coded(lead, bits, keys))
     found = graph.components(pairs)
-    members = lead.select("id", "weight", F.size("vector").alias("cost")).join(found.withColumnRenamed("node", "id"), "id")
+    members = C.stored(lead.select("id", "weight", F.size("vector").alias("cost")).join(found.withColumnRenamed("node", "id"), "id"), "members")
     placed = graph.cut(members).select("id", "root", "weight", "blocks", "block")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,10 +207,12 @@ def neighbours(df: DataFrame, least: float = COSINE) -> DataFrame:
     items = lead.select("id", "vector").join(placed, "id").select("id", "root", "weight", "blocks", "block", "vector").mapInArrow(pack, "id long, root long, weight long, blocks int, block int, payload binary")
     links = C.stored(graph.linked(items, cosine(least)), "links")
     counted = links.groupBy("id").agg(F.sum("links").alias("links"))
-    joined = graph.components(links.select(F.col("id").alias("u"), F.col("anchor").alias("v"))).select(F.col("node").alias("id"), F.col("root").alias("component"))
-    ends = classes.join(counted, "id", "left").join(joined, "id", "left").select("label", "digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    joined = graph.components(links.select(F.col("id").alias("u"), F.col("anchor").alias("v"))).select(F.col("node").alias("id"), "root")
+    reached = C.stored(classes.join(counted, "id", "left").join(joined, "id", "left").select("label", "digest", F.coalesce("root", "id").alias("root"), "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "reached")
+    ends = graph.leads(reached, "least").select("label", "digest", "n_links", F.col("lead").alias("component_id"))
     alone = base.where(F.col("label").isNull() | ~F.coalesce(finite, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return keyed.select("vec_id", "label", "digest").join(ends, ["label", "digest"]).select("vec_id", "n_links", "component_id").unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    every = keyed.select("vec_id", "label", "digest").join(ends, ["label", "digest"]).select("vec_id", "n_links", "component_id").unionByName(alone)
+    return every.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

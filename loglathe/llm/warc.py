@@ -3,9 +3,10 @@
 Each task writes its pages as gzip-compressed records into archives of its own
 in the shared folder; captures are keyed by reversed host and path.  The index
 is sorted by key over all tasks into compressed blocks of lines; a sparse
-directory keeps each block's first and last key, place and length.  Readers
-search the directory by halving, read a block's range, search its lines, and read
-the records' ranges.
+directory keeps each block's first and last key, place and length.  Readers take
+keys in order, a task a range of them: it reads the part of the directory that
+its keys can be in, searches that by halving, reads the blocks' ranges, searches
+their lines by halving, and the records' ranges follow.
 
 Files are written by pyarrow's file systems under names of their own for each
 attempt; only those that a finished task reports are in the index, so a lost
@@ -15,7 +16,8 @@ Of pages with equal payloads of LEAST bytes or more, the smallest page_id is
 stored and the others are revisits that refer to it and carry no payload.
 
 Defined results: a null html is an empty payload; a null url has the key of no
-host and no target; a null page_id is always a response; rows that repeat a
+host and no target; characters of a url that a key or header can't hold are
+percent-quoted, in host and path; a null page_id is always a response; rows that repeat a
 page_id and payload are stored once each, as the kind that the page_id has;
 payloads may be of any length; tables without rows give no rows; extra columns
 are ignored.
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyarrow import fs
+from pyarrow import dataset, fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +58,7 @@ def url_key(url: str | None) -> str:
         port = ""
     else:
         port = ":" + port
-    labels = ",".join(reversed(host.lower().strip(".").split(".")))
+    labels = quote(",".join(reversed(host.lower().strip(".").split("."))), safe="!$&'()*+,;=~[]%")
     return f"{labels}{port})" + quote(rest if rest.startswith("/") else "/" + rest, safe="/?&=%;,:@+$!*'()~[]")
 
 
@@ -193,26 +195,49 @@ def blocks_of(firsts: list[str], lasts: list[str], keys: list[str]) -> dict[int,
     return found
 
 
-def read_index(directory: DataFrame, folder: str, urls: list[str] | None = None) -> DataFrame:
-    """Captures that the index holds, all of them or those of the given urls (a short list)."""
-    wanted = sorted({url_key(u) for u in urls}) if urls is not None else None
+def keys_of(pages: DataFrame) -> DataFrame:
+    """The distinct keys (column key) of the column url."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({url_key(u) for u in batch.column("url").to_pylist()}), pa.string())], ["key"])
+
+    return pages.select("url").mapInArrow(run, "key string").distinct()
+
+
+def read_index(directory: DataFrame, folder: str, keys: DataFrame) -> DataFrame:
+    """Captures that the index holds of the given keys (column key).
+
+    ``directory`` is a stored table; a task opens its files by itself and reads
+    the rows between its first and last key only.
+    """
+    files = [*directory.inputFiles()]
+    place = C.shared_dir(directory.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = _open(folder)
+        home, _ = _open(place)
+        part = dataset.dataset([_open(x)[1] for x in files], filesystem=home, format="parquet") if files else None
+        held, rows = None, []
         for batch in batches:
-            blocks = sorted(zip(*(c.to_pylist() for c in batch.columns)))
-            here = blocks_of([b[0] for b in blocks], [b[1] for b in blocks], wanted) if wanted is not None else {}
-            for i in range(len(blocks)) if wanted is None else sorted(here):
-                _, _, file, offset, length, _ = blocks[i]
-                with system.open_input_file(f"{path}/{file}") as f:
-                    rows = _lines(f.read_at(length, offset))
-                if wanted is not None:
-                    keys = [r[0] for r in rows]
-                    rows = [r for k in here[i] for r in rows[bisect.bisect_left(keys, k) : bisect.bisect_right(keys, k)]]
-                if rows:
-                    yield _captures(rows)
+            wanted = [k for k in batch.column("key").to_pylist() if k is not None]
+            if not wanted or part is None:
+                continue
+            near = part.to_table(filter=(dataset.field("first") <= wanted[-1]) & (dataset.field("last") >= wanted[0]))
+            blocks = sorted(zip(*(near.column(c).to_pylist() for c in ("first", "last", "file", "offset", "length"))))
+            here = blocks_of([b[0] for b in blocks], [b[1] for b in blocks], wanted)
+            for i in sorted(here):
+                if blocks[i] != held:
+                    _, _, file, offset, length = held = blocks[i]
+                    with system.open_input_file(f"{path}/{file}") as f:
+                        rows = _lines(f.read_at(length, offset))
+                    own = [r[0] for r in rows]
+                found = [r for k in here[i] for r in rows[bisect.bisect_left(own, k) : bisect.bisect_right(own, k)]]
+                if found:
+                    yield _captures(found)
 
-    return directory.mapInArrow(run, CAPTURE)
+    n = C.tasks(keys.sparkSession)
+    return keys.select("key").distinct().repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(run, CAPTURE)
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -262,5 +287,6 @@ def read_records(captures: DataFrame, folder: str, payloads: bool = False) -> Da
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = C.new_path(spark, "archives")
-    directory = write_index(write_archives(C.table(spark, sf_dir, "pages", "page_id", "url", "html"), folder), folder)
-    return read_records(read_index(directory, folder), folder)
+    pages = C.table(spark, sf_dir, "pages", "page_id", "url", "html")
+    directory = write_index(write_archives(pages, folder), folder)
+    return read_records(read_index(directory, folder, keys_of(pages)), folder)

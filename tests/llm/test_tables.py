@@ -6,11 +6,13 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from loglathe.llm import common as C
-from loglathe.llm import minhash, packing, quality, secrets, vectors, warc
+from loglathe.llm import graph, minhash, packing, quality, secrets, vectors, warc
 
-from .conftest import SF
+from .conftest import SF, prose
 
 
 # ------------------------------------------------------------------------ 3
@@ -82,10 +84,11 @@ def test_archives(spark, monkeypatch):
     monkeypatch.setattr(warc, "GAP", 10)
     rows = [(i, f"http://WWW.h{i % 5}.example.org:80/p{i}?q=a b#f", f"<html>{i % 11}" + "é" * (60 if i % 2 else 3)) for i in range(60)]
     rows += [(100, None, None), (101, "https://h0.example.org", ""), (102, "odd\r\nurl", "z" * 500_000), (103, "http://x/", "z" * 500_000), (None, "http://x/", "z" * 500_000), (103, "http://x/", "z" * 500_000)]
+    rows += [(104, "http://ta\tb\nhost.org/a\tb", "t" * 200), (105, "//h\r\nb/", "t" * 200), (106, "\t\n", "u")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     folder = C.new_path(spark, "archives")
     directory = warc.write_index(warc.write_archives(df, folder), folder)
-    captures = warc.read_index(directory, folder)
+    captures = warc.read_index(directory, folder, warc.keys_of(df))
     got = warc.read_records(captures, folder, payloads=True).collect()
     assert len(got) == len(rows)
     payload = {r[0]: (r[2] or "").encode() for r in rows}
@@ -100,11 +103,13 @@ def test_archives(spark, monkeypatch):
         assert r["record_type"] == ("response" if lead == r["page_id"] else "revisit")
         assert r["refers_to"] == (None if lead == r["page_id"] else lead)
         assert r["payload"] == (p if r["record_type"] == "response" else None)
-    found = warc.read_index(directory, folder, [rows[3][1], "https://h0.example.org/", "http://nowhere/"]).collect()
-    assert {r["page_id"] for r in found} == {3, 101}
+    few = spark.createDataFrame([(rows[3][1],), ("https://h0.example.org/",), ("http://nowhere/",), ("http://ta\tb\nhost.org/a\tb",)], "url string")
+    found = warc.read_index(directory, folder, warc.keys_of(few)).collect()
+    assert {r["page_id"] for r in found} == {3, 101, 104}
     assert warc.url_key("http://a.B.org:8080/x?y#z") == "org,b,a:8080)/x?y" and warc.url_key(None) == ")/"
     empty = warc.write_archives(df.limit(0), C.new_path(spark, "archives"))
-    assert warc.write_index(empty, folder).count() == 0
+    none = warc.write_index(empty, folder)
+    assert none.count() == 0 and warc.read_index(none, folder, warc.keys_of(few)).count() == 0
 
 
 def test_directory_is_searched_by_halving():
@@ -152,3 +157,32 @@ def test_pipeline_redacts(spark):
     out = {r["doc_id"]: r for r in corpus_pipeline.without_secrets(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()}
     assert all("[SECRET]" in out[i]["text"] and hashlib.sha1(str(i).encode()).hexdigest() not in out[i]["text"] and out[i]["n_chars"] == len(out[i]["text"]) for i in range(5))
     assert out[9]["text"] is None
+
+
+# ------------------------------------------------------- identifiers, hot keys
+def test_repeated_and_null_identifiers_keep_their_own_links(spark):
+    near = lambda x: [1.0, x, 0.0, 0.0]
+    rows = [(5, near(0.0), 1), (5, [0.0, 0.0, 1.0, 0.0], 1), (6, near(0.01), 1), (7, [0.0, 0.0, 1.0, 0.01], 1), (None, near(0.02), 1), (None, [0.0, 0.0, 0.0, 1.0], 1), (8, near(0.0), 2)]
+    got = [tuple(r) for r in vectors.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(got, key=key) == [(5, 1, 5, True), (5, 2, 5, True), (6, 2, 5, False), (7, 1, 5, False), (8, 0, 8, True), (None, 0, None, True), (None, 2, 5, False)]
+    rng = random.Random(8)
+    one, two = prose(rng, 100), prose(rng, 100)
+    docs = [(1, one), (1, two), (2, one + " tail"), (3, two + " tail"), (None, one), (None, None), (None, None), (1, one)]
+    out = minhash.neighbours(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r["n_links"], r["component_id"]) for r in out if r["doc_id"] == 2) == [(3, 1)]
+    assert sorted((r["n_links"], r["component_id"]) for r in out if r["doc_id"] == 3) == [(1, 1)]
+    assert sum(r["kept"] for r in out) == 4  # one of each group, and the two without words
+
+
+def test_hot_joins_equal_plain_ones(spark):
+    left = spark.range(3000).select((F.col("id") % 7).alias("a"), F.col("id").alias("b")).union(spark.range(2000).select(F.lit(99).cast("long").alias("a"), "id"))
+    right = left.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
+    plain = sorted(left.join(right.drop("c"), "a").collect())
+    assert all(sorted(C.hot_join(left, right, ["a"], size).collect()) == plain for size in (5000, 10**6, 10**9))
+
+
+def test_components_of_a_star_and_a_chain(spark):
+    edges = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1000, 1040)]
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 if i < 1000 else 1000 for i in [*range(400), *range(1000, 1041)]}

@@ -320,6 +320,29 @@ def test_every_distinct_message_has_a_line(spark):
     assert texts == {f"{w} {i}" for w in ("lost", "note", "said") for i in range(40)}
 
 
+def test_odd_messages_are_lines_and_several_parents_are_ordered(spark):
+    calls = lambda *own: json.dumps({"tool_calls": list(own)})
+    one = lambda i, after=None, name="reply", args=None: {"id": i, "name": name, "arguments": args if args is not None else {"text": "x"}, "after": after}
+    deep = '{"tool_calls":' + "[" * 100_000 + "]" * 100_000 + "}"
+    rows = [
+        (1, 0, "assistant", calls(one("a"), one("b"), one("c", ["a", "b"]), one("d", ["c"]), one("e", ["d", "a"]), one("f", "e"))),
+        (2, 0, "assistant", calls(one("a", ["b", "x"]), one("b", ["a", "c"]), one("c"), one("d", ["b", "c"]))),
+        (3, 0, "assistant", calls(one(5, 7, name=["no", "name"]), one(7, name={"x": 1}), one("z", args='{"text": NaN}'))),
+        (3, 1, "tool", '{"tool_call_id": 7, "content": "\\ud800 half"}'), (3, 2, "assistant", deep), (3, 3, "tool", '{"tool_call_id": "q", "content": Infinity}'),
+        (3, 4, "assistant", '{"tool_calls": []}'), (3, 5, "assistant", '{"tool_calls": [{"name": "no id"}]}'), (3, 6, "system", '{"tool_call_id": 1e999}'),
+    ]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    depth = {(r["conv_id"], r["call_id"]): r["depth"] for r in got}
+    assert [depth[1, x] for x in "abcdef"] == [0, 0, 1, 2, 3, 4]
+    assert [depth[2, x] for x in "abcd"] == [None, None, 0, None]
+    by = {(r["turn"], r["part"]): r for r in got if r["conv_id"] == 3}
+    assert by[0, 0]["depth"] == 1 and by[0, 0]["errors"] == "$: no such tool" and by[0, 2]["errors"] == "$: not JSON"
+    assert json.loads(by[0, 1]["line"])["content"] == "\ufffd half" and by[0, 1]["status"] == "linked"
+    assert len(by) == 8 and json.loads(by[2, 0]["line"])["content"] == deep and by[3, 0]["status"] == "message"
+    for r in got:
+        assert json.loads(r["line"], parse_constant=lambda x: 1 / 0)
+
+
 def test_every_message_is_formatted_once(spark):
     messages = C.table(spark, SF, "conversations")
     lines = chat.op7_chat_formatting(spark, SF).toPandas()

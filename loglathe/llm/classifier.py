@@ -29,9 +29,11 @@ from . import quality
 SAMPLE, SLOTS, PASSES = 20_000, 1 << 16, 8
 FIGURES = 40  # slots of shares
 #: A document is rejected below this probability of being good.
-LEAST = 0.3
-#: Shorter texts (words) give the model too little to go by; the majority of their votes decides.
-SHORT = 20
+LEAST = 0.2
+#: Words that a text's features are thinned by: the fewer words, the nearer a text's score is to the bias.
+THIN = 12
+#: Words from which labellers of shares vote bad.
+ENOUGH = 20
 GOOD, BAD, NONE = 2, 1, 0
 LABELLERS = ("symbols", "repetition", "lines", "function words", "sentence ends", "word length", "length")
 
@@ -69,7 +71,7 @@ def votes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, dict]:
     closing = np.bincount(of[ended], minlength=len(per)) / np.maximum(np.bincount(of, minlength=len(per)), 1)
     symbols, repeated, doubled = f["n_symbols"] / n, f["n_repeat_words"] / n, f["n_dup_lines"] / np.maximum(f["n_lines"], 1)
     mean = f["word_chars"] / n
-    some, enough = f["n_words"] > 0, f["n_words"] >= SHORT
+    some, enough = f["n_words"] > 0, f["n_words"] >= ENOUGH
 
     def vote(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
         return np.where(some & good, GOOD, np.where(some & bad, BAD, NONE))
@@ -90,7 +92,7 @@ def votes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, dict]:
 
 
 def features(data: np.ndarray, offs: np.ndarray, parts: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slot and value of each hashed feature (words, word shapes, shares of repeated ones; values sum to 1 for each kind), and features per text."""
+    """Slot and value of each hashed feature (words, word shapes, shares of repeated ones; values of a kind sum to n / (n + THIN) in a text of n words), and features per text."""
     starts, ends, per = parts["starts"], parts["ends"], parts["per"]
     shape = _SHAPE[data]
     same = np.zeros(len(data), bool)
@@ -106,7 +108,7 @@ def features(data: np.ndarray, offs: np.ndarray, parts: dict) -> tuple[np.ndarra
     keys = np.concatenate([owner, owner]).astype(np.uint64) * np.uint64(SLOTS) + slots
     keys, counts = np.unique(keys, return_counts=True)
     text = (keys // np.uint64(SLOTS)).astype(np.int64)
-    values = counts / np.maximum(per, 1)[text]
+    values = counts / (per + THIN)[text]
     # ten buckets of each of four shares: distinct words, repeated windows, symbols, equal lines
     f, n = parts["figures"], np.maximum(per, 1)
     pairs = np.unique(owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ parts["hash"], return_index=True)[1]
@@ -115,7 +117,7 @@ def features(data: np.ndarray, offs: np.ndarray, parts: dict) -> tuple[np.ndarra
     bucket = np.minimum((shares * 10).astype(np.int64), 9) + 10 * np.arange(4)
     some = np.flatnonzero(per)
     keys = np.concatenate([keys, (some.astype(np.uint64)[:, None] * np.uint64(SLOTS) + bucket[some].astype(np.uint64)).reshape(-1)])
-    values = np.concatenate([values, np.full(4 * len(some), 0.25)])
+    values = np.concatenate([values, np.repeat(0.25 * per[some] / (per[some] + THIN), 4)])
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
     text = (keys // np.uint64(SLOTS)).astype(np.int64)
@@ -230,7 +232,7 @@ def classify(df: DataFrame, least: float = LEAST, through: tuple[str, ...] = ("d
             p = 1 / (1 + np.exp(-np.clip(np.bincount(own, w[slots] * values, len(per)) + bias, -30, 30)))
             pattern = v @ 3 ** np.arange(len(LABELLERS))
             mine = np.array([soft[x] for x in pattern.tolist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in through), pa.array(pattern, pa.int32()), pa.array(mine), pa.array(p), pa.array(np.where(parts["per"] < SHORT, (v == GOOD).sum(1) > (v == BAD).sum(1), p >= least))], [*through, "pattern", "label", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in through), pa.array(pattern, pa.int32()), pa.array(mine), pa.array(p), pa.array((p >= least) & (parts["per"] > 0))], [*through, "pattern", "label", "score", "kept"])
 
     return df.select(*dict.fromkeys([*through, "text"])).mapInArrow(run, C.with_columns(df, through, "pattern int, label double, score double, kept boolean"))
 

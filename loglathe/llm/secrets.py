@@ -1,11 +1,13 @@
 """Secret scans: patterns, and character Markov models of random strings against ordinary words.
 
-One pass over the texts finds the base patterns' spans, the long candidate
-strings, and the pair counts of two first-order character models: random
-strings, learnt from the values that the patterns find, and ordinary words and
-identifiers, learnt from all words but those and the candidates.  The counts are two fixed tables.  A
-candidate whose mean log-likelihood ratio a character is over the threshold is a
-further secret, of kind markov, unless it overlaps a base span.
+A first pass over the texts finds the base patterns' spans and the pair counts
+of two first-order character models: random strings, learnt from the values
+that those patterns label as secrets, and ordinary words and identifiers, learnt
+from the words, without those values.  The counts are two fixed tables.  A
+second pass scores every run of the models' characters, LEAST_LENGTH or longer,
+that lies outside the base spans (also what a base span leaves of a run): a run
+whose log-likelihood ratio is over the thresholds is a further secret, of kind
+markov.
 
 Defined results: null and empty texts have no spans; spans are in code points,
 end exclusive; very long texts are scanned whole; equal texts get equal spans;
@@ -32,16 +34,19 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
 
-#: Mean log-likelihood ratio (natural) a character from which a candidate is a secret, and the kinds of characters it needs.
-LEAST_RATIO, LEAST_KINDS = 0.7, 2
+#: Characters of a run, and log-likelihood ratio (natural) of a run and a character of it, from which it is a secret.
+LEAST_LENGTH, LEAST_RATIO, LEAST_EACH = 12, 14.0, 0.6
+#: Share of the uniform distribution in what backs the random model; counts that the backing distributions are worth (more for ordinary words, so that a secret's own few pairs among them weigh little).
+UNIFORM, BACKING = 0.5, (20, 200)
 
 N = len(ALPHABET) + 2  # another character, and the edge of a string
 OTHER, EDGE = N - 2, N - 1
 CODE = np.full(256, OTHER, np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
+#: Characters of runs: a full stop ends sentences and file names.
+IN_RUN = (CODE < OTHER) & (np.arange(256) != ord("."))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -70,11 +75,11 @@ def pair_counts(strings: list[bytes], edges: bool = True) -> np.ndarray:
     return counts
 
 
-FOUND = "base string, candidates string, secret binary, ordinary binary"
+FOUND = "base string, secret binary, ordinary binary"
 
 
 def find(df: DataFrame, through: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``through``, base spans, candidates (start:string); and once a task, with those columns null, the two tables of pair counts."""
+    """The columns ``through`` and base spans; and once a task, with those columns null, the two tables of pair counts."""
 
     schema = C.with_columns(df, through, FOUND)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
@@ -93,25 +98,22 @@ def find(df: DataFrame, through: tuple[str, ...] = ("doc_id",)) -> DataFrame:
             ordinary += np.bincount(s[:-1][pair] * N + s[1:][pair], minlength=N * N)
             ordinary += np.bincount(EDGE * N + s[starts], minlength=N * N)
             ordinary += np.bincount(s[ends - 1] * N + EDGE, minlength=N * N)
-            base, candidates, values = [], [], []
+            base, values = [], []
             for text in batch.column("text").to_pylist():
                 text = text or ""
                 spans = base_spans(text)
                 base.append(joined(spans))
                 for kind, a, b in spans:
                     values.append((ASSIGN.match(text, a)[2] if kind == "assign" else text[a:b]).encode())
-                rest = [m for m in CANDIDATE.finditer(text) if all(m.end() <= a or b <= m.start() for _, a, b in spans)]
-                candidates.append("\n".join(f"{m.start()}:{m.group()}" for m in rest))
             secret += pair_counts(values)
-            # these were counted as words; long strings without a label are in neither model
-            ordinary -= pair_counts(values + [m.partition(":")[2].encode() for c in candidates for m in (c.split("\n") if c else ())], edges=False)
+            ordinary -= pair_counts(values, edges=False)  # these were counted as words
             kinds = [batch.schema.field(c).type for c in through]
             none = pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in through), pa.array(base), pa.array(candidates), none, none], [*through, "base", "candidates", "secret", "ordinary"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in through), pa.array(base), none, none], [*through, "base", "secret", "ordinary"])
         if kinds is not None:
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.array([secret.tobytes()]), pa.array([np.maximum(ordinary, 0).tobytes()])], [*through, "base", "candidates", "secret", "ordinary"])
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds), pa.nulls(1, pa.string()), pa.array([secret.tobytes()]), pa.array([np.maximum(ordinary, 0).tobytes()])], [*through, "base", "secret", "ordinary"])
 
-    return df.select(*dict.fromkeys([*through, "text"])).mapInArrow(run, schema)
+    return df.select(*through).mapInArrow(run, schema)
 
 
 def add_tables(df: DataFrame) -> DataFrame:
@@ -131,28 +133,46 @@ def add_tables(df: DataFrame) -> DataFrame:
 def model(secret: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
     """Log-likelihood ratio of each character after each."""
     logs = []
-    for counts, extra in ((secret, 1.0), (ordinary, 1.0)):
+    for counts, uniform, backing in ((secret, UNIFORM, BACKING[0]), (ordinary, 0.0, BACKING[1])):
         c = counts.reshape(N, N).astype(float)
         # what follows any character backs what follows this one
-        back = (c.sum(0) + extra) / (c.sum() + extra * N)
-        p = (c + 20 * back) / (c.sum(1, keepdims=True) + 20)
+        back = (1 - uniform) * (c.sum(0) + 1) / (c.sum() + N) + uniform / N
+        p = (c + backing * back) / (c.sum(1, keepdims=True) + backing)
         logs.append(np.log(p))
     return logs[0] - logs[1]
 
 
-def further(text: str, ratio: np.ndarray) -> bool:
-    """Whether a candidate string is likelier random than ordinary."""
-    raw = text.encode()
-    kinds = sum(bool(re.search(k, text)) for k in ("[a-z]", "[A-Z]", "[0-9]"))
-    if kinds < LEAST_KINDS or not re.search("[0-9]", text):
-        return False
-    s = CODE[np.frombuffer(raw, np.uint8)]
-    return float(ratio[s[:-1], s[1:]].mean()) >= LEAST_RATIO
+def further(data: np.ndarray, offs: np.ndarray, taken: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte positions (start, end) of the runs outside ``taken`` bytes that are likelier random than ordinary; runs never cross texts."""
+    n = len(data)
+    inside = np.zeros(n + 1, bool)
+    inside[:n] = IN_RUN[data] & ~taken
+    border = np.zeros(n + 1, bool)
+    border[offs] = True
+    before = np.zeros(n + 1, bool)
+    before[1:] = inside[:-1] & ~border[1:]
+    starts = np.flatnonzero(inside & ~before)
+    ends = np.flatnonzero(inside[:-1] & (~inside[1:] | border[1:])) + 1
+    long = ends - starts >= LEAST_LENGTH
+    starts, ends = starts[long], ends[long]
+    if not len(starts):
+        return starts, ends
+    s = CODE[data]
+    sums = np.zeros(n, np.float64)
+    np.cumsum(ratio[s[:-1], s[1:]], out=sums[1:])
+    total = sums[ends - 1] - sums[starts] + ratio[EDGE, s[starts]] + ratio[s[ends - 1], EDGE]
+    found = (total >= LEAST_RATIO) & (total >= LEAST_EACH * (ends - starts))
+    return starts[found], ends[found]
+
+
+def parsed(spans: str | None) -> list[tuple[str, int, int]]:
+    return [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in (spans or "").split(",") if x)]
 
 
 def scan(df: DataFrame, through: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``through``, n_assign, n_access, n_hex, n_markov, base, spans (both joined as kind:start:end)."""
-    found = C.stored(find(df, through), "spans")
+    """The columns ``through``, n_assign, n_access, n_hex, n_markov, base_sha256, spans (joined as kind:start:end)."""
+    carried = tuple(dict.fromkeys([*through, "text"]))
+    found = C.stored(find(df, carried), "spans")
     tables = add_tables(found.where("secret is not null").coalesce(C.tasks(df.sparkSession))).toArrow()
     total = [np.zeros(N * N, np.int64), np.zeros(N * N, np.int64)]
     for t, name in zip(total, ("secret", "ordinary")):  # one fixed table a task
@@ -161,23 +181,33 @@ def scan(df: DataFrame, through: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     ratio = model(*total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, counts = [], []
-            for base, candidates in zip(batch.column("base").to_pylist(), batch.column("candidates").to_pylist()):
-                own = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in base.split(",") if x)]
-                for line in candidates.split("\n") if candidates else ():
-                    start, _, text = line.partition(":")
-                    if further(text, ratio):
-                        own.append(("markov", int(start), int(start) + len(text)))
-                own.sort(key=lambda x: (x[1], KINDS.index(x[0])))
-                spans.append(joined(own))
-                counts.append([sum(k == kind for k, _, _ in own) for kind in KINDS])
-            n = np.array(counts, np.int64).reshape(-1, len(KINDS))
-            sha = [hashlib.sha256(b.encode()).hexdigest() for b in batch.column("base").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in through), *(pa.array(n[:, i]) for i in range(len(KINDS))), pa.array(sha), pa.array(spans)], [*through, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+        for batch in C.chunks(batches):
+            data, offs = C.buffers(batch.column("text"))
+            lead = np.flatnonzero((data & 0xC0) != 0x80)  # bytes that begin a character
+            chars = np.searchsorted(lead, offs)
+            place = np.append(lead, len(data))
+            own = [parsed(b) for b in batch.column("base").to_pylist()]
+            edge = np.zeros(len(data) + 1, np.int64)
+            for i, spans in enumerate(own):
+                for _, a, b in spans:
+                    edge[place[chars[i] + a]] += 1
+                    edge[place[chars[i] + b]] -= 1
+            starts, ends = further(data, offs, np.cumsum(edge[:-1]) > 0, ratio)
+            text = np.searchsorted(offs, starts, side="right") - 1
+            a, b = np.searchsorted(lead, starts) - chars[text], np.searchsorted(lead, ends) - chars[text]
+            for i, x, y in zip(text.tolist(), a.tolist(), b.tolist()):
+                own[i].append(("markov", x, y))
+            spans, counts = [], np.zeros((len(own), len(KINDS)), np.int64)
+            for i, mine in enumerate(own):
+                mine.sort(key=lambda x: (x[1], KINDS.index(x[0])))
+                spans.append(joined(mine))
+                for kind, _, _ in mine:
+                    counts[i, KINDS.index(kind)] += 1
+            sha = [hashlib.sha256((x or "").encode()).hexdigest() for x in batch.column("base").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in through), *(pa.array(counts[:, i]) for i in range(len(KINDS))), pa.array(sha), pa.array(spans, pa.string())], [*through, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     kinds = "n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string"
-    return found.where("secret is null").select(*through, "base", "candidates").mapInArrow(run, C.with_columns(found, through, kinds))
+    return found.where("secret is null").select(*carried, "base").mapInArrow(run, C.with_columns(found, through, kinds))
 
 
 def redacted(df: DataFrame) -> DataFrame:

@@ -196,15 +196,46 @@ def test_secret_spans(odd, odd_texts, none):
 def test_markov_models_tell_random_from_ordinary(spark):
     rng = np.random.RandomState(4)
     letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
-    random_string = lambda: "".join(rng.choice(letters, 32))
+    random_string = lambda n=32, some=letters: "".join(rng.choice(some, n))
     plain = "the quick module_handler1 was called from request_dispatcher with parameters of the window controller "
     rows = [(i, f"{plain * 5} token = {random_string()} {plain}") for i in range(60)]
-    hidden = random_string()
-    rows += [(100, f"{plain} see {hidden} {plain}"), (101, f"{plain} request_dispatcher_handler1_parameters {plain}")]
+    hidden = [random_string(), random_string(32), random_string(40, letters[26:52]), random_string(30, letters[26:]), random_string(40), random_string(40), random_string()]
+    rows += [(100 + i, f"{plain} é see {h}, {plain}") for i, h in enumerate(hidden[:4])]
+    rows += [(200, f"{plain} request_dispatcher_handler1_parameters {plain}"), (201, f'password="abc123"{hidden[6]} {plain}'), (202, hidden[4]), (203, hidden[5])]
     got = by_id(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")))
-    start = rows[60][1].index(hidden)
-    assert got[100]["spans"] == f"markov:{start}:{start + len(hidden)}"
-    assert got[101]["spans"] == ""
+    for i, h in enumerate(hidden[:4]):
+        start = rows[60 + i][1].index(h)
+        assert got[100 + i]["spans"] == f"markov:{start}:{start + len(h)}"
+    assert got[200]["spans"] == ""
+    # what a base span leaves of a run is scored by itself, and texts next to each other are apart
+    start = rows[65][1].index(hidden[6])
+    assert got[201]["spans"].split(",")[-1] == f"markov:{start}:{start + 32}"
+    assert got[202]["spans"] == got[203]["spans"] == "markov:0:40"
+
+
+def slow_ratio(values, words, text):
+    """The log-likelihood ratio of a run by counting pairs one by one."""
+    at = {c: i for i, c in enumerate(secrets.ALPHABET)}
+    pairs = lambda strings: collections.Counter(p for s in strings for p in zip(["^", *s], [*s, "^"]))
+    logs = []
+    for counts, uniform, backing in ((pairs(values), 0.5, 20), (pairs(words), 0, 200)):
+        first, second, total = collections.Counter(), collections.Counter(), sum(counts.values())
+        for (x, y), n in counts.items():
+            first[x] += n
+            second[y] += n
+        size = len(at) + 2
+        p = lambda x, y: (counts[x, y] + backing * ((1 - uniform) * (second[y] + 1) / (total + size) + uniform / size)) / (first[x] + backing)  # noqa: E731, B023
+        logs.append(sum(math.log(p(x, y)) for x, y in zip(["^", *text], [*text, "^"])))
+    return logs[0] - logs[1]
+
+
+def test_ratio_equals_a_slow_one(monkeypatch):
+    values, words = ["f3ef4d6b2755a36d7d9c25bd", "Zx81kQpLm20s"], ["the", "window", "controller", "request_handler"]
+    ratio = secrets.model(secrets.pair_counts([v.encode() for v in values], edges=True), secrets.pair_counts([w.encode() for w in words], edges=True))
+    s = secrets.CODE[np.frombuffer(b"Zk3f8window9", np.uint8)]
+    ours = ratio[s[:-1], s[1:]].sum() + ratio[secrets.EDGE, s[0]] + ratio[s[-1], secrets.EDGE]
+    # strings that share an edge character also count edge pairs between them as one edge each
+    assert abs(ours - slow_ratio(values, words, "Zk3f8window9")) < 1e-9
 
 
 def test_redaction():
@@ -241,9 +272,108 @@ def test_rare_tokens_are_joined(odd, monkeypatch):
 
 
 def test_bits_are_the_codes():
-    start, length, path = mixing.tree([5, 1, 1, 8, 2])
-    codes = [(path[a : a + n] & 1).tolist() for a, n in zip(start, length)]
-    assert sum(2.0**-n for n in length) == 1 and len(set(map(tuple, codes))) == 5 and length[3] == 1
+    weights = np.array([5, 1, 1, 8, 2])
+    t = mixing.tree(weights)
+    codes = [(t["steps"][a : a + n] & 1).tolist() for a, n in zip(t["first"], t["length"])]
+    assert sum(2.0**-n for n in t["length"]) == 1 and len(set(map(tuple, codes))) == 5 and t["length"][3] == 1
+    assert [int(c) for c in t["codes"]] == [sum(b << 63 - i for i, b in enumerate(c)) for c in codes]
+    zero, one = mixing.shares(t, weights.astype(float))
+    for node in range(4):  # the symbols that pass a node by each of its bits
+        for bit, got in ((0, zero), (1, one)):
+            assert got[node] == sum(w for w, a, n in zip(weights, t["first"], t["length"]) if 2 * node + bit in t["steps"][a : a + n])
+
+
+def slow_mix(inputs, gates, bits, weights):
+    """ln p of one text's bits, one after the other."""
+    w = [list(x) for x in weights]
+    fix, total = [0.0] * mixing.BUCKETS, 0.0
+    for first in range(0, len(bits), mixing.TURN):
+        rows = range(first, min(first + mixing.TURN, len(bits)))
+        gate_n, bucket_n, steps, more = collections.Counter(), collections.Counter(), collections.defaultdict(float), collections.defaultdict(float)
+        for i in rows:
+            g = 2 * bits[i] - 1
+            z = max(-11.5, min(11.5, sum(a * x for a, x in zip(w[gates[i]], inputs[i]))))
+            bucket = int((z * g + 12) * (mixing.BUCKETS / 24))
+            e = math.exp(-z - g * fix[bucket])
+            total -= math.log(1 + e)
+            gate_n[gates[i]] += 1
+            bucket_n[bucket] += 1
+            more[bucket] += g * e / (1 + e)
+            for k, x in enumerate(inputs[i]):
+                steps[gates[i], k] += x / (1 + math.exp(z))
+        for (g, k), x in steps.items():
+            w[g][k] += mixing.RATE / (mixing.HOLD + mixing.CURVE * gate_n[g]) * x
+        for bucket, x in more.items():
+            fix[bucket] += x / (mixing.HOLD_BUCKET + mixing.CURVE_BUCKET * bucket_n[bucket])
+    return total
+
+
+def test_mixing_equals_a_slow_mixer():
+    rng = np.random.RandomState(3)
+    sizes = [0, 1, 700, 5000, 511, 512, 513, 1300, *rng.randint(1, 300, 12)]
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    n = len(doc)
+    inputs, gate, bit = (rng.standard_normal((n, 3)) + 0.5).astype(np.float32), rng.randint(0, mixing.GATES, n), rng.randint(0, 2, n).astype(np.uint8)
+    weights = rng.rand(mixing.GATES, 3)
+    got, _, _ = mixing.mix({"inputs": inputs, "gate": gate, "bit": bit, "doc": doc}, weights, len(sizes))
+    for i in range(len(sizes)):
+        own = np.flatnonzero(doc == i)
+        assert math.isclose(got[i], slow_mix(inputs[own].tolist(), gate[own].tolist(), bit[own].tolist(), weights.tolist()), rel_tol=1e-4, abs_tol=1e-4)
+
+
+@pytest.mark.parametrize("split", [1 << 20, 2])
+def test_context_counts_equal_brute_force(spark, odd, odd_texts, monkeypatch, split):
+    """What predicts each token, from counts over all other training documents, whatever the blocks, buckets and parts."""
+    monkeypatch.setattr(mixing, "SPLIT", split)
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 500)
+    docs = odd.repartition(3).selectExpr("doc_id", "text", "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 7, 0) as fold")
+    counted = mixing.count_tokens(docs.where("fold <> 2")).toPandas()
+    words, letters = counted[counted.kind == 0], np.zeros(256, np.int64)
+    own = mixing.lexicon(words.key.to_numpy().astype(np.int64).view(np.uint64), words.c.to_numpy(), int(words.c.sum()), letters)
+    lex = spark.sparkContext.broadcast(own)
+    made = C.stored(mixing.blocks(docs, lex, 100), "blocks")
+    for n in (1, 5):
+        solved = mixing.answers(mixing.entries(made, lex, n).repartition(n, "bucket").sortWithinPartitions("bucket", "block"))
+        rows = mixing.ready(made, solved, lex, n, made.count()).collect()
+        texts = []
+        for row in rows:
+            per, tok, folds = mixing.opened(row["per"], np.int64), mixing.opened(row["tok"], np.uint32), mixing.opened(row["folds"], np.int64)
+            steps = mixing.opened(row["steps"], np.uint8).reshape(3, -1)
+            ends = np.cumsum(per)
+            texts += [(tok[z - m : z].tolist(), bool(f != 2), steps[:, z - m : z], i) for z, m, f, i in zip(ends, per, folds, row["ids"])]
+        assert sorted(x[3] for x in texts) == sorted([*range(len(odd_texts)), 6])
+        follow = collections.defaultdict(collections.Counter)
+        mine = [collections.defaultdict(collections.Counter) for _ in texts]
+        for d, (tok, teach, _, _) in enumerate(texts):
+            for order in (1, 2):
+                for i, t in enumerate(tok):
+                    context = (order, *([None] * order + tok[:i])[-order:])
+                    mine[d][context][t] += 1
+                    follow[context][t] += teach
+        walk = lambda t: t if t < mixing.UNKNOWN else 0
+        for d, (tok, teach, steps, _) in enumerate(texts):
+            for i, t in enumerate(tok):
+                for order in (1, 2):
+                    context = (order, *([None] * order + tok[:i])[-order:])
+                    whole = sorted(((c, x) for x, c in follow[context].items() if c), key=lambda x: (-x[0], x[1]))[:2]
+                    left = [(c - (mine[d][context][x] if teach else 0), x) for c, x in whole]
+                    best = max(left, key=lambda x: x[0], default=(0, 0))
+                    if best[0] <= 0:
+                        assert steps[order - 1, i] == 255
+                    else:
+                        code = lambda x: own["words"]["steps"][own["words"]["first"][walk(x)] :][: own["words"]["length"][walk(x)]].tolist()
+                        a, b = code(t), code(best[1])
+                        assert steps[order - 1, i] == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+
+
+def test_scores_beat_the_base_and_tell_copies(spark):
+    docs = C.table(spark, "/root/testdata/sf0.01", "documents")
+    got = mixing.score(docs).join(docs.select("doc_id", "text"), "doc_id").toPandas()
+    held = got[got.held_out]
+    assert held.score.sum() > 0.9 * held.base_score.sum()
+    copies = got.text.map(got.text[~got.held_out].value_counts()).fillna(0) - ~got.held_out
+    large = got.n_tokens > 50
+    assert got[large & (copies > 0)].bits_per_byte.mean() < 0.5 * got[large & (copies == 0)].bits_per_byte.mean()
 
 
 # ----------------------------------------------------------------------- 10

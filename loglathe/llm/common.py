@@ -62,10 +62,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table that ``stored`` wrote and that nothing reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
     for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(conf).delete(folder, True)
+        remove(df.sparkSession, file.rpartition("/")[0])
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def numbered(df: DataFrame, *columns: str) -> DataFrame:

@@ -307,7 +307,7 @@ def test_mixing_equals_a_slow_mixer():
     n = len(doc)
     inputs, gate = (rng.standard_normal((n, 3)) + 0.5).astype(np.float32), rng.randint(0, mixing.GATES, n)
     weights = rng.rand(mixing.GATES, 3)
-    got, _, _ = mixing.mix({"inputs": inputs, "gate": gate, "doc": doc}, weights, len(sizes))
+    got, _, _ = mixing.mix({"inputs": np.ascontiguousarray(inputs.T), "gate": gate.astype(np.uint8), "doc": doc}, weights, len(sizes))
     for i in range(len(sizes)):
         own = np.flatnonzero(doc == i)
         assert math.isclose(got[i], slow_mix(inputs[own].tolist(), gate[own].tolist(), weights.tolist()), rel_tol=1e-4, abs_tol=1e-4)
@@ -323,16 +323,17 @@ def test_context_counts_equal_brute_force(spark, odd, odd_texts, monkeypatch, sp
     words, letters = counted[counted.kind == 0], np.zeros(256, np.int64)
     own = mixing.lexicon(words.key.to_numpy().astype(np.int64).view(np.uint64), words.c.to_numpy(), int(words.c.sum()), letters)
     lex = spark.sparkContext.broadcast(own)
-    made = C.stored(mixing.blocks(docs, lex, 100), "blocks")
+    made = C.stored(mixing.blocks(docs, lex, 100, C.new_path(spark, "texts")), "blocks")
     for n in (1, 5):
         solved = mixing.answers(mixing.entries(made, lex, n).repartition(n, "bucket").sortWithinPartitions("bucket", "block"))
         rows = mixing.ready(made, solved, lex, n, made.count()).collect()
         texts = []
         for row in rows:
-            per, tok, folds = mixing.opened(row["per"], np.int64), mixing.opened(row["tok"], np.uint32), mixing.opened(row["folds"], np.int64)
+            kept = mixing.read_block(row["file"], "ids", "per", "tok", "folds")
+            per, tok, folds = mixing.opened(kept["per"], np.int64), mixing.opened(kept["tok"], np.uint32), mixing.opened(kept["folds"], np.int64)
             steps = mixing.opened(row["steps"], np.uint8).reshape(mixing.PREDICTORS, -1)
             ends = np.cumsum(per)
-            texts += [(tok[z - m : z].tolist(), bool(f != 2), steps[:, z - m : z], i) for z, m, f, i in zip(ends, per, folds, row["ids"])]
+            texts += [(tok[z - m : z].tolist(), bool(f != 2), steps[:, z - m : z], i) for z, m, f, i in zip(ends, per, folds, kept["ids"])]
         assert sorted(x[3] for x in texts) == sorted([*range(len(odd_texts)), 6])
         follow = collections.defaultdict(collections.Counter)
         mine = [collections.defaultdict(collections.Counter) for _ in texts]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -98,7 +98,15 @@ def binomial_tail(d: DataFrame, p: float) -> DataFrame:
 def centroids(e: DataFrame) -> DataFrame:
     """label, i, c: the mean of each component over a label's vectors."""
     x = e.select("label", F.posexplode("embedding").alias("i", "x"))
-    return x.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("c"))
+    # sums of whole numbers are the same in any order
+    return x.groupBy("label", "i").agg((F.sum(F.round(F.col("x").cast("double") * 1e9).cast("bigint")) / F.count("*") / 1e9).alias("c"))
+
+
+def millionths(x) -> Column:
+    """The mean of values of six places, in whole millionths, halves upwards: by whole numbers, so that neither order nor ties matter."""
+    n = F.count(x)
+    t = 2 * F.sum(F.round(x * 1e6).cast("bigint")) + n
+    return ((t - F.pmod(t, 2 * n)) / (2 * n)).cast("bigint")
 
 
 def affinities(e: DataFrame) -> DataFrame:
@@ -121,7 +129,7 @@ def density_shares(a: DataFrame) -> DataFrame:
 
 def contrasts(a: DataFrame) -> DataFrame:
     """The candidate whose score rises most over its mean score, and by how much over the second."""
-    neutral = a.groupBy("candidate").agg(F.round(F.avg("score"), 6).alias("neutral"))
+    neutral = a.groupBy("candidate").agg((millionths(F.col("score")) / 1e6).alias("neutral"))
     by = W.partitionBy("vec_id").orderBy(F.desc("lift"), "candidate")
     r = a.join(F.broadcast(neutral), "candidate").withColumn("lift", F.round(F.col("score") - F.col("neutral"), 6))  # a row for each label
     r = r.withColumn("rank", F.row_number().over(by)).withColumn("second", F.lead("lift").over(by)).where("rank = 1")
@@ -141,10 +149,10 @@ def counterbalanced(a: DataFrame) -> DataFrame:
     """Margins of each pair of label and vector read both ways: the least, the mean, and whether both are positive."""
     own = a.where("candidate = label").select("vec_id", F.col("score").alias("own"))
     r = a.where("candidate <> label").join(own, "vec_id")
-    g = r.groupBy("label", "candidate").agg(F.round(F.avg(F.col("own") - F.col("score")), 6).alias("forward"), F.count("*").alias("n"))
+    g = r.groupBy("label", "candidate").agg(millionths(F.col("own") - F.col("score")).alias("forward"))
     back = g.select(F.col("label").alias("candidate"), F.col("candidate").alias("label"), F.col("forward").alias("backward"))
     j = g.join(back, ["label", "candidate"]).where("label < candidate")
-    return j.select("label", "candidate", F.least("forward", "backward").alias("least"), (F.round(F.col("forward") + F.col("backward"), 6) / 2).alias("mean"), ((F.col("forward") > 0) & (F.col("backward") > 0)).alias("both"))
+    return j.select("label", "candidate", (F.least("forward", "backward") / 1e6).alias("least"), ((F.col("forward") + F.col("backward")) / 2e6).alias("mean"), ((F.col("forward") > 0) & (F.col("backward") > 0)).alias("both"))
 
 
 def positions(d: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ query("lease_countdown", lambda s, d: Z.leases(Z.operations(A.log(s, d))), OPS +
 query("topology_digests", lambda s, d: Z.topology(Z.operations(A.log(s, d))), OPS + f""", r AS ({ALIVE.format("WHERE op IN ('add', 'remove')")}) SELECT session, count(*) AS folds, sha256(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id)) AS sha FROM r WHERE op = 'add' GROUP BY session""")
 
 SUCC = LOG + """, i AS (SELECT *, count(*) FILTER (kind = 'purchase') OVER (PARTITION BY session ORDER BY ordinal) AS island FROM log), j AS (SELECT *, row_number() OVER (PARTITION BY session, island ORDER BY ordinal) AS n FROM i),
- p AS (SELECT *, list(CASE WHEN n <= 32 THEN k END) FILTER (n <= 32) OVER (PARTITION BY session, island ORDER BY ordinal) AS nxt FROM j), q AS (SELECT *, lag(nxt) OVER (PARTITION BY session ORDER BY ordinal) AS prv FROM p),
+ p AS (SELECT *, list(k) OVER (PARTITION BY session, island ORDER BY ordinal) AS nxt FROM j), q AS (SELECT *, lag(nxt) OVER (PARTITION BY session ORDER BY ordinal) AS prv FROM p),
  c AS (SELECT session, ordinal, prv, nxt, coalesce(list_min([x FOR x IN range(1, least(len(prv), len(nxt)) + 1) IF prv[x] <> nxt[x]]) - 1, least(len(prv), len(nxt))) AS common FROM q WHERE prv IS NOT NULL),
  ch AS (SELECT session, ordinal, CASE WHEN common = len(prv) AND common = len(nxt) THEN 'identical' WHEN common = len(prv) THEN 'append' ELSE 'rewrite' END AS change, common, len(prv) AS "before", len(nxt) AS "after" FROM c)"""
 query("projection_change", lambda s, d: Z.changes(Z.successive(A.log(s, d))), SUCC + " SELECT * FROM ch")

@@ -92,7 +92,13 @@ query("cold_positions", lambda s, d: S.positions(decisions(s, d)), D + """, p AS
 query("binomial_tail", lambda s, d: S.binomial_tail(decisions(s, d), 0.5), D + """, g AS (SELECT class, confidence, count(*) AS n, count(*) FILTER (correct) AS s FROM d GROUP BY class, confidence HAVING count(*) <= 60)
  SELECT class, confidence, n, s, round((SELECT sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + n * ln(0.5))) FROM range(s, n + 1) t(k)), 6) AS tail FROM g""")
 
-AFF = """WITH x AS (SELECT label, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label AS candidate, i, avg(x) AS c FROM x GROUP BY label, i),
+def millionths(x: str) -> str:
+    """The mean in whole millionths, halves upwards."""
+    t, n = f"(2 * sum(round(({x}) * 1e6)::BIGINT)::BIGINT + count({x}))", f"(2 * count({x}))"
+    return f"(({t} - ({t} % {n} + {n}) % {n}) // {n})"
+
+
+AFF = """WITH x AS (SELECT label, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label AS candidate, i, sum(round(x * 1e9)::BIGINT)::DOUBLE / count(*) / 1e9 AS c FROM x GROUP BY label, i),
  v AS (SELECT vec_id, label, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), a AS (SELECT vec_id, label, candidate, round(sum(x * c), 6) AS score FROM v JOIN c USING (i) GROUP BY vec_id, label, candidate)"""
 
 
@@ -103,11 +109,11 @@ def affine(s, d):
 query("label_affinities", affine, AFF + " SELECT * FROM a")
 query("density_share_rank", lambda s, d: S.density_shares(affine(s, d)), AFF + """, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, candidate) AS rank, round(greatest(score, 0) / nullif(sum(greatest(score, 0)) OVER (PARTITION BY vec_id), 0), 4) AS "share" FROM a)
  SELECT vec_id, candidate, score, "share" FROM r WHERE rank = 1""")
-query("contrast_lift", lambda s, d: S.contrasts(affine(s, d)), AFF + """, n AS (SELECT candidate, round(avg(score), 6) AS neutral FROM a GROUP BY candidate), l AS (SELECT *, round(score - neutral, 6) AS lift FROM a JOIN n USING (candidate)),
+query("contrast_lift", lambda s, d: S.contrasts(affine(s, d)), AFF + f""", n AS (SELECT candidate, {millionths("score")} / 1e6 AS neutral FROM a GROUP BY candidate), l AS (SELECT *, round(score - neutral, 6) AS lift FROM a JOIN n USING (candidate)),
  r AS (SELECT *, row_number() OVER w AS rank, lead(lift) OVER w AS second FROM l WINDOW w AS (PARTITION BY vec_id ORDER BY lift DESC, candidate)) SELECT vec_id, candidate, lift, round(lift - second, 6) AS margin, candidate = label AS "right" FROM r WHERE rank = 1""")
 query("softmax_source", lambda s, d: S.softmax_sources(affine(s, d)), AFF + """, r AS (SELECT *, round(exp(score) / sum(exp(score)) OVER (PARTITION BY vec_id), 5) AS p0 FROM a),
  g AS (SELECT vec_id, max(p0) FILTER (candidate = label) AS p, max(score) FILTER (candidate = label) AS own, max(score) FILTER (candidate <> label) AS other FROM r GROUP BY vec_id) SELECT vec_id, p, round(own - other, 6) AS margin, own > other AS "right" FROM g""")
-query("counterbalanced_margin", lambda s, d: S.counterbalanced(affine(s, d)), AFF + """, o AS (SELECT vec_id, score AS own FROM a WHERE candidate = label), g AS (SELECT label, candidate, round(avg(own - score), 6) AS m FROM a JOIN o USING (vec_id) WHERE candidate <> label GROUP BY label, candidate)
- SELECT f.label, f.candidate, least(f.m, b.m) AS least, round(f.m + b.m, 6) / 2 AS mean, f.m > 0 AND b.m > 0 AS both FROM g f JOIN g b ON f.label = b.candidate AND f.candidate = b.label WHERE f.label < f.candidate""")
+query("counterbalanced_margin", lambda s, d: S.counterbalanced(affine(s, d)), AFF + f""", o AS (SELECT vec_id, score AS own FROM a WHERE candidate = label), g AS (SELECT label, candidate, {millionths("own - score")} AS m FROM a JOIN o USING (vec_id) WHERE candidate <> label GROUP BY label, candidate)
+ SELECT f.label, f.candidate, least(f.m, b.m) / 1e6 AS least, (f.m + b.m) / 2e6 AS mean, f.m > 0 AND b.m > 0 AS both FROM g f JOIN g b ON f.label = b.candidate AND f.candidate = b.label WHERE f.label < f.candidate""")
 query("rotation_cases", lambda s, d: S.rotations(table(s, d, "embeddings").select(F.col("label").alias("candidate"))), """WITH c AS (SELECT label AS candidate, row_number() OVER (ORDER BY label) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT label FROM embeddings))
  SELECT r AS rotation, ((i - r) % n + n) % n AS position, candidate FROM c, range(0, (SELECT count(*) FROM c)) t(r)""")

@@ -6,9 +6,9 @@ document of each group of near copies (the smallest doc_id), secret scans
 replace what they find in the texts, and best-fit packing lays the tokens out.
 
 Defined results: null texts and texts without words are rejected by the first
-stage; repeated rows are copies, of which the third stage keeps one; a null
-doc_id is dropped by the third stage, as it cannot be told from others; empty
-tables pass through.
+stage; repeated rows are copies, of which the third stage keeps one; rows are
+told apart by numbers of their own, so that null or repeated identifiers lose
+nothing; empty tables pass through.
 """
 
 from __future__ import annotations
@@ -34,9 +34,9 @@ def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near copies, once."""
-    kept = minhash.neighbours(docs).where("kept").select("doc_id").distinct()
-    return docs.select(*DOCUMENTS).join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*DOCUMENTS)
+    """One row of each group of near copies, that with the smallest doc_id."""
+    rows = C.numbered(docs, *DOCUMENTS)
+    return rows.join(minhash.of_rows(rows).where("kept").select("row"), "row").select(*DOCUMENTS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
 
 #: Characters of a run, and log-likelihood ratio (natural) of a run and a character of it, from which it is a secret.
-LEAST_LENGTH, LEAST_RATIO, LEAST_EACH = 12, 14.0, 0.6
+LEAST_LENGTH, LEAST_RATIO, LEAST_EACH = 12, 14.0, 0.3
 #: Share of the uniform distribution in what backs the random model; counts that the backing distributions are worth (more for ordinary words, so that a secret's own few pairs among them weigh little).
 UNIFORM, BACKING = 0.5, (20, 200)
 

@@ -33,8 +33,9 @@ def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
         large = C.hot_join(both.where("v > u"), least, ["u"], size).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
-        near = C.hot_join(large, least, ["u"], size).select("u", "v", "m")
+        # a node has few smaller neighbours left here: the least ones of its former neighbours
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        near = large.join(least, "u").select("u", "v", "m")
         small = near.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         past, e = e, C.stored(small, "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(0x7FFFFFFF))).first()

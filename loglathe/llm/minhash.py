@@ -168,7 +168,8 @@ def of_rows(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
             payload = pa.array([raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "root", "weight", "blocks", "block")), payload], ["id", "root", "weight", "blocks", "block", "payload"])
 
-    texts = docs.select(F.col("row").alias("id"), "text").join(placed, "id").select("id", "root", "weight", "blocks", "block", "text")
+    # by shuffled hash at every size, built of the members: the texts are neither sorted nor broadcast to
+    texts = docs.select(F.col("row").alias("id"), "text").join(placed.hint("shuffle_hash"), "id").select("id", "root", "weight", "blocks", "block", "text")
     items = texts.mapInArrow(pack, "id long, root long, weight long, blocks int, block int, payload binary").where(F.length("payload") > 0)
     links = C.stored(graph.linked(items, jaccard(similarity)), "links")
     counted = links.groupBy("id").agg(F.sum("links").alias("links"))

@@ -14,6 +14,7 @@ from .mixing import op1_lm_scoring
 from .packing import op2_packing
 from .quality import op5_quality_rules
 from .secrets import op4_secret_scans
+from .spelling import op11_spelling_variants
 from .vectors import op3_embedding_dedup
 from .warc import op9_warc
 
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import maxscore, negatives
 from .bpe import op6_bpe
 from .chat import op7_chat_formatting
 from .classifier import op8_quality_classifier
+from .maxscore import op12_exact_topk
 from .minhash import op10_jaccard_join
 from .mixing import op1_lm_scoring
+from .negatives import op13_hard_negatives
 from .packing import op2_packing
 from .quality import op5_quality_rules
 from .secrets import op4_secret_scans
@@ -30,6 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_exact_topk": op12_exact_topk,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_exact_topk": maxscore.SQL, "op13_hard_negatives": negatives.SQL}

@@ -37,22 +37,22 @@ def integers(df: DataFrame, scale: int, *columns: Column | str) -> DataFrame:
     return C.stored(good.select(*columns, "vec_id", F.monotonically_increasing_id().alias("row"), scaled.alias("vector")), "integers")
 
 
-def pairs(queries: DataFrame, rows: DataFrame, weight: int = 1) -> tuple[DataFrame, DataFrame]:
+def pairs(queries: DataFrame, rows: DataFrame, weight: int = 1, together: Column | str = "row") -> tuple[DataFrame, DataFrame]:
     """Both sides with ``cell``, for groups that hold a block of each; a query has ``weight`` rows at most.
 
     Where blocks of the largest size give fewer groups than there are tasks,
     blocks of rows are smaller.  Each row goes to every block of queries, each
-    query to every block of rows.
+    query to every block of rows; rows of equal ``together`` share a block.
     """
     m, n = queries.count() // weight, rows.count()
     across = max(1, math.ceil(m / QUERIES))
     down = max(math.ceil(n / ROWS), min(math.ceil(n / FEWEST), math.ceil(C.tasks(rows.sparkSession) / across)), 1)
 
-    def dealt(df: DataFrame, key: str, own: int, others: int, place) -> DataFrame:
+    def dealt(df: DataFrame, key: Column | str, own: int, others: int, place) -> DataFrame:
         block = F.pmod(F.xxhash64(key), F.lit(own))
         return df.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).withColumn("cell", place(block, F.col("other"))).drop("other")
 
-    return dealt(queries, "row", across, down, lambda q, r: q * down + r), dealt(rows, "row", down, across, lambda r, q: q * down + r)
+    return dealt(queries, "row", across, down, lambda q, r: q * down + r), dealt(rows, together, down, across, lambda r, q: q * down + r)
 
 
 def matrix(vectors: pa.ChunkedArray, dim: int) -> np.ndarray:

@@ -27,61 +27,66 @@ from . import common as C
 from . import grid
 
 K, SCALE, EVERY = 20, 64, 20
-#: Vectors of a shard, and terms that are probed between looks at what is still competitive.
-SHARD, PROBED = 2048, 6
+#: Vectors of a shard and of the first one, queries at once, and components probed between looks at what is still competitive.
+SHARD, FIRST, ASKED, PROBED = 2048, 256, 256, 16
+#: Sums of products up to which doubles are exact.
+EXACT = float(1 << 52)
 
 
 class Shard:
-    """Posting lists of integer vectors: for each component and sign, places and absolute values."""
+    """Posting lists of integer vectors, two for each component: values above zero and below it.
+
+    Lists are held as columns, zero where a vector is not in the list, because
+    few components of dense vectors are zero; a product of matrices traverses
+    the lists of many queries at once.
+    """
 
     def __init__(self, vectors: np.ndarray, ident: np.ndarray, row: np.ndarray) -> None:
-        self.vectors, self.ident, self.row = vectors, ident, row
-        dim = vectors.shape[1]
-        self.most = np.zeros((2, dim), np.float64)
-        self.lists: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-        for sign in (0, 1):
-            value = -vectors if sign else vectors
-            self.most[sign] = np.maximum(value.max(0, initial=0), 0)
-            for t in range(dim):
-                there = np.flatnonzero(value[:, t] > 0)
-                self.lists[sign].append((there, value[there, t]))
-
-    def competitive(self, query: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of all vectors that score ``least`` or more."""
-        sign = (query < 0).astype(np.int64)
-        weight = np.abs(query)
-        bound = weight * self.most[sign, np.arange(len(query))]
-        order = np.argsort(bound, kind="stable")
-        below = np.cumsum(bound[order]) * (1 + 1e-12)
-        cut = int(np.searchsorted(below, least, side="left")) if least > 0 else 0
-        sums = np.zeros(len(self.row), np.int64)
-        if cut or least > 0:
-            seen = np.zeros(len(self.row), bool)
-            for t in order[cut:][::-1].tolist():
-                there, value = self.lists[sign[t]][t]
-                sums[there] += weight[t] * value
-                seen[there] = True
-            rest = below[cut - 1] if cut else 0.0
-            found = np.flatnonzero(seen & (sums + rest >= least))
-        else:  # nothing can be left out yet
-            for t in range(len(query)):
-                there, value = self.lists[sign[t]][t]
-                sums[there] += weight[t] * value
-            cut, found = 0, np.arange(len(self.row))
-        score = sums[found]
-        # what only subtracts, heaviest first, then non-essential terms by falling bounds
-        heavy = np.argsort(-weight * self.most[1 - sign, np.arange(len(query))], kind="stable")
-        for at in range(0, len(heavy), PROBED):
-            some = heavy[at : at + PROBED]
-            score = score + (np.minimum(self.vectors[found[:, None], some] * np.sign(query[some]), 0) * weight[some]).sum(1)
-            left = score + (below[cut - 1] if cut else 0.0) >= least
-            found, score = found[left], score[left]
-        for i in range(cut - 1, -1, -1):
-            t = order[i]
-            score = score + np.maximum(self.vectors[found, t] * np.sign(query[t]), 0) * weight[t]
-            left = score + (below[i - 1] if i else 0.0) >= least
-            found, score = found[left], score[left]
-        return found, score
+        self.ident, self.row = ident, row
+        self.long = float(np.sqrt((vectors.astype(np.float64) ** 2).sum(1).max(initial=0)))
+        self.whole = vectors
+        self.real = vectors.astype(np.float64)
+        self.most = np.stack([self.real.max(0, initial=0), -self.real.min(0, initial=0)])
+
+    def competitive(self, queries: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, place and score of all vectors that score the query's ``least`` or more (NaN: all of them).
+
+        Beyond what doubles hold exactly, some that score a little less come too.
+        """
+        size = float(np.sqrt((queries.astype(np.float64) ** 2).sum(1).max(initial=0))) * self.long
+        q, x = (queries.astype(np.float64), self.real) if size < EXACT else (queries, self.whole)
+        started = np.flatnonzero(~np.isnan(least))
+        fresh = np.flatnonzero(np.isnan(least))
+        # nothing can be left out yet: every list is traversed
+        plain = q[fresh] @ x.T
+        query, place = np.repeat(fresh, len(x)), np.tile(np.arange(len(x)), len(fresh))
+        found = [(query, place, plain.reshape(-1).astype(np.int64))]
+        if len(started):
+            q, wanted = q[started], least[started]
+            if size >= EXACT:
+                wanted = wanted - np.abs(wanted) * 1e-12
+            weight = np.abs(q).astype(np.float64)
+            bound = weight * np.where(q < 0, self.most[1], self.most[0])
+            order = np.argsort(bound, axis=1, kind="stable")
+            below = np.cumsum(np.take_along_axis(bound, order, 1), axis=1) * (1 + 1e-12)
+            spare = np.zeros(bound.shape, bool)  # non-essential terms
+            np.put_along_axis(spare, order, below < wanted[:, None], 1)
+            rest = np.where(below < wanted[:, None], below, 0).max(1, initial=0)
+            essential = np.where(spare, 0, q)
+            sums = np.maximum(essential, 0) @ np.maximum(x, 0).T + np.minimum(essential, 0) @ np.minimum(x, 0).T
+            query, place = np.nonzero(sums + rest[:, None] >= wanted[:, None])
+            score = sums[query, place]
+            # other lists: those that only subtract, and non-essential ones
+            spared = np.where(spare, bound, 0) * (1 + 1e-12)
+            for at in range(0, x.shape[1], PROBED):
+                some = slice(at, at + PROBED)
+                more = x[place, some] * q[query, some]
+                score = score + np.where(spare[query, some], more, np.minimum(more, 0)).sum(1)
+                after = spared[:, at + PROBED :].sum(1)
+                left = score + after[query] >= wanted[query]
+                query, place, score = query[left], place[left], score[left]
+            found.append((started[query], place, score.astype(np.int64)))
+        return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def search(queries: pa.Table, rows: pa.Table, k: int = K) -> list[np.ndarray]:
@@ -93,20 +98,26 @@ def search(queries: pa.Table, rows: pa.Table, k: int = K) -> list[np.ndarray]:
             continue
         held = own_rows[dim]
         vectors, (ident, row) = grid.matrix(held.column("vector"), dim), grid.ids(held)
-        shards = [Shard(vectors[a : a + SHARD], ident[a : a + SHARD], row[a : a + SHARD]) for a in range(0, len(row), SHARD)]
-        query_ids, query_rows = grid.ids(asked)
-        for q, query in enumerate(grid.matrix(asked.column("vector"), dim)):
-            score, found, places = (np.zeros(0, np.int64) for _ in range(3))
+        cuts = [0, *range(min(FIRST, len(row)), len(row), SHARD), len(row)]
+        shards = [Shard(vectors[a:b], ident[a:b], row[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a]
+        every, (query_ids, query_rows) = grid.matrix(asked.column("vector"), dim), grid.ids(asked)
+        for at in range(0, len(every), ASKED):
+            own, own_rows_of, own_ids = every[at : at + ASKED], query_rows[at : at + ASKED], query_ids[at : at + ASKED]
+            query, score, found, places = (np.zeros(0, np.int64) for _ in range(4))
+            least = np.full(len(own), np.nan)
             for shard in shards:
-                least = int(score[-1]) if len(score) == k else np.iinfo(np.int64).min
-                at, more = shard.competitive(query, least)
-                other = shard.row[at] != query_rows[q]
-                score = np.concatenate((score, more[other]))
-                found = np.concatenate((found, shard.ident[at[other]]))
-                places = np.concatenate((places, shard.row[at[other]]))
-                top = grid.best(score, found, places, k)
-                score, found, places = score[top], found[top], places[top]
-            out.append((np.full(len(score), query_rows[q]), np.full(len(score), query_ids[q]), score, found, places))
+                q, place, more = shard.competitive(own, least)
+                other = shard.row[place] != own_rows_of[q]
+                q, place, more = q[other], place[other], more[other]
+                query, score = np.concatenate((query, q)), np.concatenate((score, more))
+                found, places = np.concatenate((found, shard.ident[place])), np.concatenate((places, shard.row[place]))
+                order = np.lexsort((places, found, -score, query))
+                rank = C.ragged(np.bincount(query, minlength=len(own)))
+                order, rank = order[rank < k], rank[rank < k]
+                query, score, found, places = query[order], score[order], found[order], places[order]
+                last = rank == k - 1
+                least[query[last]] = score[last]
+            out.append((own_rows_of[query], own_ids[query], score, found, places))
     return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
 
 

@@ -21,11 +21,13 @@ are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 from . import grid
@@ -33,8 +35,8 @@ from . import grid
 SCALE, EVERY, POSITIVES, NEGATIVES = 256, 100, 5, 10
 #: A negative's share of the positive's score, in hundredths.
 LOW, HIGH = 30, 90
-#: Rows that centroids are fitted on at most, clusters, rounds, and rows of a block of a list.
-SAMPLE, CLUSTERS, ROUNDS, BLOCK = 20_000, 256, 8, 512
+#: Rows that centroids are fitted on at most, clusters, rounds, rows of a piece of a list, and of a block of a piece.
+SAMPLE, CLUSTERS, ROUNDS, PIECE, BLOCK = 20_000, 256, 8, 4096, 1024
 #: Slack for rounding in bounds, relative and absolute.
 SLACK = 1e-9
 
@@ -67,25 +69,45 @@ def nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.argmin((centre**2).sum(1)[None, :] - 2 * (x @ centre.T), axis=1) if centre.shape[1] else np.zeros(len(x), np.int64)
 
 
+def listed(rows: DataFrame, centre: dict[int, np.ndarray]) -> DataFrame:
+    """The rows with ``cluster``, that of the nearest centroid (0 for lengths without), and ``piece``, cut from long lists; stored."""
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cluster = np.zeros(batch.num_rows, np.int32)
+            lengths = np.asarray(batch.column("vector").value_lengths())
+            for dim in np.unique(lengths).tolist():
+                own = np.flatnonzero(lengths == dim)
+                if dim in centre:
+                    cluster[own] = nearest(grid.matrix(batch.column("vector").take(pa.array(own)), dim).astype(np.float64), centre[dim])
+            yield batch.append_column("cluster", pa.array(cluster))
+
+    kept = C.stored(rows.mapInArrow(assign, T.StructType([*rows.schema.fields, T.StructField("cluster", T.IntegerType())])), "listed")
+    sizes = kept.groupBy("cluster").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
+    return kept.join(sizes, "cluster").withColumn("piece", F.xxhash64("cluster", F.pmod(F.xxhash64("row"), F.col("pieces")))).drop("pieces")
+
+
 class Lists:
     """Inverted lists over integer vectors of one length, in blocks with centroid and radius."""
 
     def __init__(self, table: pa.Table, dim: int, centre: np.ndarray | None) -> None:
         x = grid.matrix(table.column("vector"), dim)
         ident, row = grid.ids(table)
-        label = np.asarray(table.column("label").combine_chunks(), dtype=np.int64)
+        label, near = (np.asarray(table.column(c).combine_chunks(), dtype=np.int64) for c in ("label", "cluster"))
         if centre is None:  # a length that the sample has not
             centre = np.zeros((1, dim))
-        near = nearest(x.astype(np.float64), centre)
         order = np.argsort(near, kind="stable")
+        cut = np.flatnonzero(np.append(True, np.diff(near[order]) != 0))
         self.blocks, middles, radii = [], [], []
-        for c, own in zip(*_groups(near[order], order)):
+        for own in np.split(order, cut[1:]):
             for at in range(0, len(own), BLOCK):
                 some = own[at : at + BLOCK]
-                middle = centre[c]
+                middle = centre[near[some[0]]]
                 middles.append(middle)
-                radii.append(math.sqrt(float(((x[some] - middle) ** 2).sum(1).max())) if dim else 0.0)
-                self.blocks.append((x[some], ident[some], row[some], label[some]))
+                radii.append(math.sqrt(float(((x[some] - middle) ** 2).sum(1).max())))
+                real = x[some].astype(np.float64)
+                exact = float((real**2).sum(1).max()) < (1 << 50)  # products are summed in doubles where that is exact
+                self.blocks.append((real if exact else x[some], ident[some], row[some], label[some], exact))
         self.middle, self.radius = np.array(middles).reshape(len(middles), dim), np.array(radii)
 
     def bounds(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,33 +117,43 @@ class Lists:
         slack = SLACK * (np.abs(mid) + reach) + 1e-6
         return mid - reach - slack, mid + reach + slack
 
-    def scores(self, block: int, query: np.ndarray) -> np.ndarray:
-        return self.blocks[block][0] @ query
+    def scores(self, block: int, query: np.ndarray, real: np.ndarray, short: bool) -> np.ndarray:
+        vectors, _, _, _, exact = self.blocks[block]
+        if exact:
+            return (vectors @ real).astype(np.int64) if short else vectors.astype(np.int64) @ query
+        return vectors @ query
 
-    def best(self, query: np.ndarray, k: int, wanted, low: float = -math.inf, high: float = math.inf, known: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Score, vec_id and row of the k best rows that ``wanted(rows, labels)`` allows, scores from low to high."""
+    def best(self, query: np.ndarray, k: int, wanted, windows: list[tuple[float, float]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each window, score, vec_id and row of the k best rows that ``wanted(rows, labels)`` allows, scores from low to high."""
         floor, ceiling = self.bounds(query)
-        score, ident, row = (np.zeros(0, np.int64) for _ in range(3))
-        known = {} if known is None else known
+        real = query.astype(np.float64)
+        short = float(real @ real) < (1 << 50)
+        held = [tuple(np.zeros(0, np.int64) for _ in range(3)) for _ in windows]
+        least = [low for low, _ in windows]  # what a row needs; the k-th score once there are k
         for b in np.argsort(-ceiling, kind="stable").tolist():
-            if ceiling[b] < low or (len(score) == k and ceiling[b] < score[-1]):
+            top = ceiling[b]
+            if all(top < x for x in least):
                 break
-            if floor[b] > high:
+            open_now = [w for w, (_, high) in enumerate(windows) if top >= least[w] and floor[b] <= high]
+            if not open_now:
                 continue
-            if b not in known:
-                known[b] = self.scores(b, query)
-            _, idents, rows, labels = self.blocks[b]
-            some = np.flatnonzero(wanted(rows, labels) & (known[b] >= low) & (known[b] <= high))
-            if len(some):
-                score, ident, row = (np.concatenate(x) for x in ((score, known[b][some]), (ident, idents[some]), (row, rows[some])))
-                top = grid.best(score, ident, row, k)
-                score, ident, row = score[top], ident[top], row[top]
-        return score, ident, row
-
-
-def _groups(keys: np.ndarray, order: np.ndarray) -> tuple[list, list]:
-    cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[cut].tolist(), np.split(order, cut[1:]) if len(keys) else []
+            _, idents, rows, labels, _ = self.blocks[b]
+            score = self.scores(b, query, real, short)
+            allowed = wanted(rows, labels) & (score >= min(least[w] for w in open_now))
+            some = np.flatnonzero(allowed)
+            if not len(some):
+                continue
+            score = score[some]
+            for w in open_now:
+                inside = np.flatnonzero((score >= least[w]) & (score <= windows[w][1]))
+                if len(inside):
+                    own = some[inside]
+                    joined = tuple(np.concatenate(x) for x in zip(held[w], (score[inside], idents[own], rows[own])))
+                    first = grid.best(*joined, k)
+                    held[w] = tuple(x[first] for x in joined)
+                    if len(first) == k:
+                        least[w] = int(held[w][0][-1])
+        return held
 
 
 def window(positive: int, low: int = LOW, high: int = HIGH) -> tuple[int, int]:
@@ -156,16 +188,17 @@ def mine(df: DataFrame, scale: int = SCALE, every: int = EVERY, positives: int =
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score over columns vec_id, embedding, label."""
     rows = grid.integers(df.where(F.col("label").isNotNull()).select("vec_id", "embedding", F.col("label").cast("long").alias("label")), scale, "label")
     centre = centroids(rows)
+    lists = C.stored(listed(rows, centre), "lists")
     anchors = rows.where(F.col("vec_id") % every == 0)
 
     def same(lists: Lists, table: pa.Table, dim: int):
         ident, row = grid.ids(table)
         label = np.asarray(table.column("label").combine_chunks(), dtype=np.int64)
         for q, query in enumerate(grid.matrix(table.column("vector"), dim)):
-            score, other, place = lists.best(query, positives, lambda r, l, q=q: (l == label[q]) & (r != row[q]))
+            score, other, place = lists.best(query, positives, lambda r, l, q=q: (l == label[q]) & (r != row[q]), [(-math.inf, math.inf)])[0]
             yield np.full(len(score), row[q]), score, other, place
 
-    asked, others = grid.pairs(anchors, rows)
+    asked, others = grid.pairs(anchors, lists, together="piece")
     near = _searched(asked, others, centre, same, "row long, positive_score long, positive_id long, positive_row long")
     order = Window.partitionBy("row").orderBy(F.desc("positive_score"), F.asc_nulls_last("positive_id"), "positive_row")
     chosen = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= positives)
@@ -176,17 +209,17 @@ def mine(df: DataFrame, scale: int = SCALE, every: int = EVERY, positives: int =
         order = np.argsort(row, kind="stable")
         table, row = table.take(pa.array(order)), row[order]
         label, score_of, place_of = (np.asarray(table.column(c).combine_chunks(), dtype=np.int64) for c in ("label", "positive_score", "place"))
-        known: dict = {}
-        for q, query in enumerate(grid.matrix(table.column("vector"), dim)):
-            if q and row[q] != row[q - 1]:
-                known = {}  # scores are shared by an anchor's windows
-            least, most = window(int(score_of[q]), low, high)
-            if least > most:
+        vectors = grid.matrix(table.column("vector"), dim)
+        for own in np.split(np.arange(len(row)), np.flatnonzero(np.diff(row)) + 1):  # an anchor's positives
+            own = own[score_of[own] >= 0]
+            if not len(own):
                 continue
-            score, found, place = lists.best(query, negatives, lambda r, l, q=q: l != label[q], least, most, known)
-            yield np.full(len(score), row[q]), np.full(len(score), place_of[q]), score, found, place
+            q = own[0]
+            found = lists.best(vectors[q], negatives, lambda r, l, q=q: l != label[q], [window(int(s), low, high) for s in score_of[own]])
+            for i, (score, other, place) in zip(own, found):
+                yield np.full(len(score), row[q]), np.full(len(score), place_of[i]), score, other, place
 
-    asked, others = grid.pairs(pairs, rows, positives)
+    asked, others = grid.pairs(pairs, lists, positives, "piece")
     far = _searched(asked, others, centre, other, "row long, place long, negative_score long, negative_id long, negative_row long")
     order = Window.partitionBy("row", "place").orderBy(F.desc("negative_score"), F.asc_nulls_last("negative_id"), "negative_row")
     ranked = far.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)

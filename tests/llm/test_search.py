@@ -70,6 +70,7 @@ def odd(rows: list[tuple]) -> list[tuple]:
 @pytest.mark.parametrize("shard", [2048, 16])
 def test_top_k(spark, monkeypatch, shard):
     monkeypatch.setattr(maxscore, "SHARD", shard)
+    monkeypatch.setattr(maxscore, "FIRST", shard // 2)
     monkeypatch.setattr(grid, "FEWEST", 64)
     rows = odd(vectors(1, 220))
     df = spark.createDataFrame(rows, SCHEMA)
@@ -79,21 +80,28 @@ def test_top_k(spark, monkeypatch, shard):
     assert maxscore.top(df.where("vec_id = 1")).count() == 0
 
 
-def test_shard_leaves_out_only_what_cannot_compete():
+@pytest.mark.parametrize("scale", [1, 1 << 22])
+def test_shard_leaves_out_only_what_cannot_compete(scale):
     rng = np.random.RandomState(2)
-    x = rng.randint(-30, 30, (500, 10)) * (rng.random((500, 10)) < 0.4)
+    x = rng.randint(-30, 30, (500, 10)) * (rng.random((500, 10)) < 0.4) * scale
     shard = maxscore.Shard(x, np.arange(500), np.arange(500))
-    for query in rng.randint(-30, 30, (40, 10)):
-        plain = x @ query
-        for least in (np.iinfo(np.int64).min, 0, 1, int(np.sort(plain)[-20]), int(plain.max()), int(plain.max()) + 1):
-            found, score = shard.competitive(query, least)
-            assert found.tolist() == np.flatnonzero(plain >= least).tolist()
-            assert score.tolist() == plain[found].tolist()
+    queries = rng.randint(-30, 30, (40, 10)) * scale
+    plain = queries @ x.T
+    for which in ("all", 0, 1, "twentieth", "best", "none"):
+        least = {"all": np.full(40, np.nan), "twentieth": np.sort(plain, 1)[:, -20], "best": plain.max(1), "none": plain.max(1) + 1}.get(which, np.full(40, which))
+        query, place, score = shard.competitive(queries, np.asarray(least, np.float64))
+        assert len(query) < 500 or which in ("all", 0, 1, "twentieth")
+        got = sorted((q, p) for q, p, s in zip(query.tolist(), place.tolist(), score.tolist()) if which == "all" or s >= least[q])
+        if which == "none" and scale > 1:
+            continue
+        assert got == [(q, p) for q in range(40) for p in range(500) if which == "all" or plain[q, p] >= least[q]]
+        assert score.tolist() == plain[query, place].tolist()
 
 
 @pytest.mark.parametrize(("block", "sample"), [(512, 20_000), (8, 50)])
 def test_negatives(spark, monkeypatch, block, sample):
     monkeypatch.setattr(negatives, "BLOCK", block)
+    monkeypatch.setattr(negatives, "PIECE", 4 * block)
     monkeypatch.setattr(negatives.centroids, "__defaults__", (sample, 256))
     monkeypatch.setattr(grid, "FEWEST", 64)
     rows = odd(vectors(4, 260))
@@ -108,11 +116,11 @@ def test_negatives(spark, monkeypatch, block, sample):
 def test_bounds_hold_and_stop_only_below():
     rng = np.random.RandomState(5)
     x = rng.randint(-200, 200, (600, 16))
-    table = pa.table({"vec_id": np.arange(600), "row": np.arange(600), "label": np.arange(600) % 3, "vector": pa.array(x.tolist(), pa.list_(pa.int32()))})
+    table = pa.table({"vec_id": np.arange(600), "row": np.arange(600), "label": np.arange(600) % 3, "cluster": negatives.nearest(x.astype(float), x[:12].astype(float)), "vector": pa.array(x.tolist(), pa.list_(pa.int32()))})
     lists = negatives.Lists(table, 16, x[:12].astype(float))
     for query in rng.randint(-200, 200, (20, 16)):
         low, high = lists.bounds(query)
-        for b, (vectors_of, _, _, _) in enumerate(lists.blocks):
+        for b, (vectors_of, *_) in enumerate(lists.blocks):
             plain = vectors_of @ query
             assert low[b] <= plain.min() and plain.max() <= high[b]
     assert negatives.window(7) == (3, 6) and negatives.window(0) == (0, 0)

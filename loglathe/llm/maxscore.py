@@ -1,13 +1,12 @@
 """Exact top-k by inner product with MaxScore over sharded inverted lists.
 
-A vector is a bag of signed terms: component t with a positive value is in one
-posting list, with a negative value in another.  In a shard, a query's weight
-and the list's largest value bound what a term can add.  Terms in ascending
-order of bounds are non-essential as long as their sum is below the k-th score
-so far: a vector in none of the other, essential lists cannot be among the best.
-Essential lists are traversed; the rest is probed for vectors that remain
-competitive, lists that only subtract included.  The k-th score goes on from
-shard to shard of a block, and blocks' results are merged by query.
+A vector is a bag of terms, its components that are not zero.  In a shard, a
+query's weight and a list's largest and smallest values bound what a term can
+add.  Terms in ascending order of bounds are non-essential as long as their sum
+is below the k-th score so far: a vector in none of the other, essential lists
+cannot be among the best.  Essential lists are traversed; the rest is probed for
+vectors that remain competitive.  The k-th score goes on from shard to shard of
+a block, and blocks' results are merged by query.
 
 Defined results: as in ``grid.integers``; vectors of different lengths have no
 score; queries are told apart by row, so a repeated row has its own results, and
@@ -27,14 +26,16 @@ from . import common as C
 from . import grid
 
 K, SCALE, EVERY = 20, 64, 20
-#: Vectors of a shard and of the first one, queries at once, and components probed between looks at what is still competitive.
-SHARD, FIRST, ASKED, PROBED = 2048, 256, 256, 16
+#: Vectors of a shard and of the first one, queries at once, and terms probed between looks at what is still competitive.
+SHARD, FIRST, ASKED, PROBED = 2048, 256, 256, 4
+#: Share of the k-th score that bounds of non-essential terms may reach; below 1, as traversing dense lists costs less than probing.
+SPARED = 0.3
 #: Sums of products up to which doubles are exact.
 EXACT = float(1 << 52)
 
 
 class Shard:
-    """Posting lists of integer vectors, two for each component: values above zero and below it.
+    """Posting lists of integer vectors, one for each component.
 
     Lists are held as columns, zero where a vector is not in the list, because
     few components of dense vectors are zero; a product of matrices traverses
@@ -65,27 +66,26 @@ class Shard:
             q, wanted = q[started], least[started]
             if size >= EXACT:
                 wanted = wanted - np.abs(wanted) * 1e-12
-            weight = np.abs(q).astype(np.float64)
-            bound = weight * np.where(q < 0, self.most[1], self.most[0])
+            bound = np.abs(q) * np.where(q < 0, self.most[1], self.most[0])
             order = np.argsort(bound, axis=1, kind="stable")
             below = np.cumsum(np.take_along_axis(bound, order, 1), axis=1) * (1 + 1e-12)
-            spare = np.zeros(bound.shape, bool)  # non-essential terms
-            np.put_along_axis(spare, order, below < wanted[:, None], 1)
-            rest = np.where(below < wanted[:, None], below, 0).max(1, initial=0)
-            essential = np.where(spare, 0, q)
-            sums = np.maximum(essential, 0) @ np.maximum(x, 0).T + np.minimum(essential, 0) @ np.minimum(x, 0).T
-            query, place = np.nonzero(sums + rest[:, None] >= wanted[:, None])
+            spare = below < SPARED * wanted[:, None]  # of terms in order
+            count = spare.sum(1)
+            rest = np.where(spare, below, 0).max(1, initial=0)
+            essential = q.copy()
+            np.put_along_axis(essential, order, np.where(spare, 0, np.take_along_axis(q, order, 1)), 1)
+            sums = essential @ x.T
+            query, place = np.nonzero(sums >= (wanted - rest)[:, None])
             score = sums[query, place]
-            # other lists: those that only subtract, and non-essential ones
-            spared = np.where(spare, bound, 0) * (1 + 1e-12)
-            for at in range(0, x.shape[1], PROBED):
-                some = slice(at, at + PROBED)
-                more = x[place, some] * q[query, some]
-                score = score + np.where(spare[query, some], more, np.minimum(more, 0)).sum(1)
-                after = spared[:, at + PROBED :].sum(1)
-                left = score + after[query] >= wanted[query]
+            for at in range(int(count.max(initial=0)) - 1, -1, -PROBED):  # by falling bounds
+                for i in range(at, max(-1, at - PROBED), -1):
+                    term = order[query, i]
+                    score = score + np.where(i < count[query], x[place, term] * q[query, term], 0)
+                after = below[:, at - PROBED] if at >= PROBED else np.zeros(len(q))
+                left = score + np.minimum(after, rest)[query] >= wanted[query]
                 query, place, score = query[left], place[left], score[left]
-            found.append((started[query], place, score.astype(np.int64)))
+            enough = score >= wanted[query]
+            found.append((started[query[enough]], place[enough], score[enough].astype(np.int64)))
         return tuple(np.concatenate(c) for c in zip(*found))
 
 

@@ -1,7 +1,7 @@
-"""Session trees and fold forests: closures, projections, briefs, recovery.
+"""Session trees and fold forests: projections, briefs, recovery.
 
-Closures are found by pointer doubling: as many self-joins as the depth's
-logarithm, each on equal keys, whatever the number of sessions.
+Session trees are read by intervals (``trees``).  Fold forests have three levels,
+so that their closure by pointer doubling has three rows a fold at most.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql.window import Window as W
 from ..functions import scalars as X
 from ..policy import PLACEHOLDER_BYTES
 from . import selection as S
+from . import trees
 
 BRIEF = 80
 
@@ -30,26 +31,18 @@ def ancestors(edges: DataFrame, depth: int) -> DataFrame:
     return found
 
 
-def deepest(e: DataFrame) -> int:
-    """Entries of the longest session: no branch is deeper."""
-    return int(e.groupBy("session").count().agg(F.max("count")).first()[0] or 1)
-
-
 def branch(e: DataFrame) -> DataFrame:
     """The root path of each session's last entry."""
-    leaf = e.groupBy("session").agg(F.max_by("entry", "idx").alias("leaf"))
-    a = ancestors(e.select(F.col("entry").alias("node"), "parent"), deepest(e))
-    return leaf.join(a, F.col("leaf") == F.col("node")).select("session", "leaf", F.col("above").alias("entry"), "distance")
+    return trees.on_branch(trees.intervals(e)).select("session", "leaf", "entry", "distance")
 
 
 def dead_entries(e: DataFrame) -> DataFrame:
-    return e.join(branch(e).select("entry"), "entry", "left_anti").select("session", "entry", "idx", "role")
+    return e.join(branch(e).select("session", "entry"), ["session", "entry"], "left_anti").select("session", "entry", "idx", "role")
 
 
 def descends(e: DataFrame) -> DataFrame:
     """How many entries descend from each."""
-    a = ancestors(e.select(F.col("entry").alias("node"), "parent"), deepest(e))
-    return a.groupBy(F.col("above").alias("entry")).agg((F.count("*") - 1).alias("descendants"), F.max("distance").alias("height"))
+    return trees.descendants(e)
 
 
 # ------------------------------------------------------------------- forest

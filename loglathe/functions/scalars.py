@@ -37,8 +37,9 @@ DEFINITIONS = [
 
 def retrieval_tokens(text: Column) -> Column:
     """Lower-case tokens of four characters or more, without edge underscores and stop words; repeated ones stay."""
-    parts = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9_]+"), lambda x: F.regexp_replace(x, "^_+|_+$", ""))
-    return F.filter(parts, lambda x: (F.length(x) >= 4) & ~x.isin(*STOP_WORDS))
+    # from the first letter or digit of a run to its last: edge underscores stay outside
+    parts = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9][a-z0-9_]{2,}[a-z0-9]"), F.lit(0))
+    return F.filter(parts, lambda x: ~x.isin(*STOP_WORDS))
 
 
 def utf8_head(text: Column, n: int | Column) -> Column:

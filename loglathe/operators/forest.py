@@ -16,6 +16,8 @@ from ..functions import scalars as X
 from ..policy import PLACEHOLDER_BYTES
 from . import selection as S
 from . import trees
+from .containment import contained
+from .spans import covering, held
 
 BRIEF = 80
 
@@ -66,7 +68,7 @@ def flatten_refs(m: DataFrame, f: DataFrame) -> DataFrame:
     """Each fold's leaf rows in order: turns own rows, others what is below them."""
     a = ancestors(f.select(F.col("fold").alias("node"), "parent"), 3)
     t = f.where("kind = 'turn'").select("session", F.col("fold").alias("node"), "start", "end")
-    rows = t.join(m.select("session", "idx"), "session").where("idx >= start and idx < end")
+    rows = held(m.select("session", "idx"), t, "node")
     r = a.join(rows, "node").select("session", F.col("above").alias("fold"), "idx")
     return r.withColumn("position", F.row_number().over(W.partitionBy("fold").orderBy("idx")))
 
@@ -111,8 +113,7 @@ def visible(f: DataFrame, expand_from: int) -> DataFrame:
 
 def projection(m: DataFrame, v: DataFrame) -> DataFrame:
     """What a session shows: collapsed folds in place of their rows, and the other rows."""
-    covered = m.join(v.select("session", "start", "end"), "session").where("idx >= start and idx < end").select("session", "idx")
-    raw = m.join(covered, ["session", "idx"], "left_anti").select("session", F.col("idx").alias("place"), F.lit("row").alias("kind"), F.lit(None).cast("string").alias("fold"), "nbytes")
+    raw = covering(m.select("session", "idx", "nbytes"), v, "fold").where("fold is null").select("session", F.col("idx").alias("place"), F.lit("row").alias("kind"), F.lit(None).cast("string").alias("fold"), "nbytes")
     stubs = v.select("session", F.col("start").alias("place"), F.col("kind"), "fold", F.lit(PLACEHOLDER_BYTES + BRIEF).cast("bigint").alias("nbytes"))
     return raw.unionByName(stubs)
 
@@ -133,23 +134,37 @@ def linkage_check(m: DataFrame, v: DataFrame) -> DataFrame:
     return t.groupBy("session").agg(F.count_if(F.col("s") == F.col("n")).alias("kept"), F.count_if(F.col("s") == 0).alias("hidden"), F.count_if((F.col("s") > 0) & (F.col("s") < F.col("n"))).alias("split"))
 
 
+def _brief(first, answers, n):
+    return F.concat(F.lit("User: "), X.bounded_subject(X.one_line(first), BRIEF), F.lit(" · Assistant: "), answers.cast("string"), F.lit(" of "), n.cast("string"), F.lit(" rows"))
+
+
 def briefs(m: DataFrame, v: DataFrame) -> DataFrame:
-    """A deterministic brief for each fold: how it opens and how many answers it holds."""
-    r = v.join(m.select("session", "idx", "role", "text"), "session").where("idx >= start and idx < end")
+    """A deterministic brief for each of disjoint folds: how it opens and how many answers it holds."""
+    r = held(m.select("session", "idx", "role", "text"), v, "fold", "kind")
     g = r.groupBy("session", "fold", "kind").agg(F.min_by("text", "idx").alias("first"), F.count_if(F.col("role") == "assistant").alias("answers"), F.count("*").alias("n"))
-    opens = X.bounded_subject(X.one_line(F.col("first")), BRIEF)
-    return g.select("session", "fold", F.concat(F.lit("User: "), opens, F.lit(" · Assistant: "), F.col("answers").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" rows")).alias("brief"))
+    return g.select("session", "fold", _brief(F.col("first"), F.col("answers"), F.col("n")).alias("brief"))
+
+
+def briefs_of(m: DataFrame, f: DataFrame) -> DataFrame:
+    """The briefs of all folds of a forest: sums of prefixes at their ends, and the first row's text."""
+    by = W.partitionBy("session").orderBy("idx")
+    p = m.select("session", "idx", "text", F.row_number().over(by).cast("bigint").alias("n"), F.count_if(F.col("role") == "assistant").over(by).alias("answers"), (F.col("role") == "assistant").cast("bigint").alias("own"))
+    a = p.select("session", F.col("idx").alias("start"), "text", (F.col("n") - 1).alias("n0"), (F.col("answers") - F.col("own")).alias("a0"))
+    b = p.select("session", (F.col("idx") + 1).alias("end"), F.col("n").alias("n1"), F.col("answers").alias("a1"))
+    r = f.select("session", "fold", "start", "end").join(a, ["session", "start"]).join(b, ["session", "end"])
+    return r.select("session", "fold", _brief(F.col("text"), F.col("a1") - F.col("a0"), F.col("n1") - F.col("n0")).alias("brief"))
 
 
 def carriage(m: DataFrame, v: DataFrame) -> DataFrame:
     """Where each session's facts (what its users' rows open with) can be seen: raw, in a brief, or only recovered."""
-    fact = F.left(X.one_line(F.col("text")), F.lit(30))
-    facts = m.where("role = 'user'").select("session", F.col("idx").alias("at"), fact.alias("fact")).where("length(fact) >= 10")
-    shown = projection(m, v).where("fold is null").select("session", F.col("place").alias("idx")).join(m.select("session", "idx", "text"), ["session", "idx"])
-    raw = facts.join(shown.select("session", X.one_line(F.col("text")).alias("line")), "session").where(F.col("line").contains(F.col("fact"))).select("session", "at").distinct().withColumn("raw", F.lit(1))
-    brief = facts.join(briefs(m, v).select("session", "brief"), "session").where(F.col("brief").contains(F.col("fact"))).select("session", "at").distinct().withColumn("brief", F.lit(1))
-    r = facts.join(raw, ["session", "at"], "left").join(brief, ["session", "at"], "left")
-    return r.select("session", "at", F.when(F.col("raw") == 1, "visible-raw").when(F.col("brief") == 1, "visible-brief").otherwise("recoverable").alias("class"))
+    line = X.one_line(F.col("text"))
+    facts = m.where("role = 'user'").select("session", F.col("idx").alias("at"), F.left(line, F.lit(30)).alias("value")).where("length(value) >= 10")
+    rows = covering(m.select("session", "idx", "text"), v, "fold").where("fold is null").select("session", F.lit("raw").alias("item"), line.alias("text"))
+    told = briefs(m, v).select("session", F.lit("brief").alias("item"), F.col("brief").alias("text"))
+    hits = contained(rows.unionByName(told), facts.withColumnRenamed("at", "fact"))
+    g = hits.groupBy("session", F.col("fact").cast("int").alias("at")).agg(F.max("item").alias("item"))
+    r = facts.join(g, ["session", "at"], "left")
+    return r.select("session", "at", F.when(F.col("item") == "raw", "visible-raw").when(F.col("item") == "brief", "visible-brief").otherwise("recoverable").alias("class"))
 
 
 def recovered(m: DataFrame, f: DataFrame) -> DataFrame:
@@ -160,8 +175,7 @@ def recovered(m: DataFrame, f: DataFrame) -> DataFrame:
 
 def source_map(m: DataFrame, v: DataFrame) -> DataFrame:
     """The fold that shows for each row; none: the row itself."""
-    r = m.select("session", "idx").join(v.select("session", "fold", "start", "end"), "session").where("idx >= start and idx < end").groupBy("session", "idx").agg(F.max_by("fold", "start").alias("fold"))
-    return m.select("session", "idx").join(r, ["session", "idx"], "left")
+    return covering(m.select("session", "idx"), v, "fold")
 
 
 def slate(v: DataFrame, limit: int = 16) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import scalars as X
+from ..storage import stored
+from .containment import contained
 
 K1, B = 1.5, 0.75
 #: Lines by which a ranking is promoted or dropped, and queries at least.
@@ -38,19 +40,33 @@ def idf(n, df):
 
 
 def bm25(docs: DataFrame, queries: DataFrame, distinct: bool = False) -> DataFrame:
-    """query, doc, score of all pairs that share a term; a query's repeated terms count again unless ``distinct``."""
+    """query, doc, score of all pairs that share a term; a query's repeated terms count again unless ``distinct``.
+
+    Texts are tokenised once: postings of asked terms are stored, with a row
+    for each document, from which the statistics come as well.  The queries'
+    terms are stored first, so that Spark knows their size before it chooses
+    how to join them.
+    """
     terms = queries.select("query", F.explode(X.retrieval_tokens(F.col("text"))).alias("term"))
-    terms = terms.groupBy("query", "term").agg(F.lit(1).cast("bigint").alias("qn") if distinct else F.count("*").alias("qn"))
-    p, l = postings(docs), lengths(docs)
-    known = terms.select("term").distinct()
-    whole = l.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    # only postings of asked terms go on
-    asked = p.join(known, "term", "left_semi")
-    df = asked.groupBy("term").agg(F.count("*").alias("df"))
-    r = asked.join(df, "term").join(l, "doc").crossJoin(F.broadcast(whole))  # one row
+    terms = stored(terms.groupBy("query", "term").agg(F.lit(1).cast("bigint").alias("qn") if distinct else F.count("*").alias("qn")), "terms")
+    tokens = docs.select("doc", X.retrieval_tokens(F.col("text")).alias("tokens"))
+    each = tokens.select("doc", F.size("tokens").cast("bigint").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term"))
+    known = terms.select("term").union(terms.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    asked = stored(each.join(known, "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count("*").alias("tf")), "postings")
+    whole = asked.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    df = asked.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
+    weighed = terms.join(df, "term").crossJoin(F.broadcast(whole)).select("query", "term", "qn", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))  # one row
     tf = F.col("tf").cast("double")
-    weight = idf(F.col("n"), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return r.select("term", "doc", weight.alias("w")).join(terms, "term").groupBy("query", "doc").agg(F.round(F.sum(F.col("w") * F.col("qn")), 6).alias("score"))
+    weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return asked.where("term <> ''").join(weighed, "term").groupBy("query", "doc").agg(F.round(F.sum(weight * F.col("qn")), 6).alias("score"))
+
+
+def relevant(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """query and doc of the documents that contain the query's text: one pass over each document for all queries."""
+    texts = docs.select(F.lit(0).alias("session"), F.col("doc").alias("item"), "text")
+    found = contained(texts, queries.select(F.lit(0).alias("session"), F.col("query").alias("fact"), F.col("text").alias("value")))
+    kind = lambda df, c: df.schema[c].dataType
+    return found.select(F.col("fact").cast(kind(queries, "query")).alias("query"), F.col("item").cast(kind(docs, "doc")).alias("doc"))
 
 
 def ranked(scores: DataFrame) -> DataFrame:
@@ -61,8 +77,8 @@ def ranked(scores: DataFrame) -> DataFrame:
 
 def labelled(r: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     """Relevant: the document contains the query's text."""
-    t = r.join(docs.select("doc", F.col("text").alias("body")), "doc").join(queries.select("query", F.col("text").alias("needle")), "query")
-    return t.select("query", "doc", "score", "rank", "newest", F.col("body").contains(F.col("needle")).alias("relevant"))
+    pairs = relevant(docs, queries).withColumn("relevant", F.lit(True))
+    return r.join(pairs, ["query", "doc"], "left").select("query", "doc", "score", "rank", "newest", F.coalesce("relevant", F.lit(False)).alias("relevant"))
 
 
 def best_ranks(l: DataFrame) -> DataFrame:

@@ -22,8 +22,10 @@ is plain; names and identifiers that are no strings are written as JSON, and
 lone surrogates become U+FFFD; a call without result is "unanswered", a result without
 call "orphan", other messages "message"; of several calls or several results
 with one identifier the first by turn, part and content is linked, and the
-others are "repeated", with lines of their own and without depth; calls that
-wait for each other are "cyclic" and have no depth; arguments that are not JSON
+others are "repeated", with lines of their own and without depth; calls without
+identifier are "unanswered" and have no depth, as are calls that are no objects,
+whose arguments are what they are; calls that wait for each other are "cyclic"
+and have no depth; arguments that are not JSON
 are invalid; tables without rows give no rows; extra columns are ignored.
 """
 
@@ -123,23 +125,27 @@ def events(messages: DataFrame) -> DataFrame:
     once = messages.select("conv_id", "turn", "role", "text").distinct()
     once = once.withColumn("message", F.xxhash64("role", F.col("text").isNull(), "text"))
     light = messages.where("turn is not null").groupBy("conv_id", "turn").agg(F.min(F.struct("role")).alias("m")).select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("m.role").alias("role_before"))
-    one = once.where("turn is not null").join(light, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") - 1 == F.col("t")), "left").drop("c", "t")
+    one = once.where("turn is not null").join(light, F.col("conv_id").eqNullSafe(F.col("c")) & (F.try_subtract("turn", F.lit(1)) == F.col("t")), "left").drop("c", "t")
     two = light.withColumnRenamed("role_before", "role_before2")
-    both = one.join(two, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") - 2 == F.col("t")), "left").select("conv_id", "turn", "role", "text", "role_before", "role_before2", "message")
+    both = one.join(two, F.col("conv_id").eqNullSafe(F.col("c")) & (F.try_subtract("turn", F.lit(2)) == F.col("t")), "left").select("conv_id", "turn", "role", "text", "role_before", "role_before2", "message")
     # rows without a turn have no neighbours and are not joined, as they would all meet in one task
     both = both.unionByName(once.where("turn is null").select("conv_id", "turn", "role", "text", F.lit(None).cast("string").alias("role_before"), F.lit(None).cast("string").alias("role_before2"), "message"))
 
     def rows(conv, turn, role, text, before, before2) -> Iterator[tuple]:
         text = text or ""
-        if text.startswith("{") and '"tool_call' in text:
+        # keys can be written with escapes
+        if text.lstrip(" \t\n\r").startswith("{") and ('"tool_call' in text or "\\u" in text):
             found = []
             try:
                 got = strict(text)
                 if isinstance(got.get("tool_calls"), list):
                     for i, c in enumerate(got["tool_calls"]):
+                        if not isinstance(c, dict):
+                            found.append((conv, turn, i, "call", None, None, canonical(c), [], None, role))
+                            continue
                         after = c.get("after")
                         after = after if isinstance(after, list) else [] if after is None else [after]
-                        found.append((conv, turn, i, "call", named(c["id"]), named(c.get("name")), named(c.get("arguments")) or "null", sorted({named(x) or "null" for x in after}), None, role))
+                        found.append((conv, turn, i, "call", named(c.get("id")), named(c.get("name")), named(c.get("arguments")) or "null", sorted({named(x) or "null" for x in after}), None, role))
                 elif "tool_call_id" in got:
                     found.append((conv, turn, 0, "result", named(got["tool_call_id"]), None, None, None, named(got.get("content")) or "", role))
             except ODD:
@@ -214,7 +220,7 @@ def depths(calls: DataFrame) -> DataFrame:
 def link(found: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """conv_id, turn, part, call_id, status, depth, valid, errors, line: one row for each call, orphan or repeated result, or other message."""
     spark = found.sparkSession
-    called = found.where("kind = 'call' or kind = 'result' and call_id is not null")
+    called = found.where("kind in ('call', 'result') and call_id is not null")
     order = F.struct("turn", "part", "tool", "arguments", "after", "output", "role", "message")
     first = C.stored(called.groupBy("conv_id", "kind", "call_id").agg(F.min(order).alias("x"), F.count("*").alias("n")), "first")
     calls = first.where("kind = 'call'").select("conv_id", "call_id", "x.*")
@@ -228,7 +234,9 @@ def link(found: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     several = first.where("n > 1").select(F.col("conv_id").alias("sc"), F.col("kind").alias("sk"), F.col("call_id").alias("si"), "x")
     again = called.join(several, F.col("conv_id").eqNullSafe(F.col("sc")) & (F.col("kind") == F.col("sk")) & (F.col("call_id") == F.col("si"))).where(~order.eqNullSafe(F.col("x")))
     again = again.select("conv_id", "turn", "part", "call_id", F.lit("repeated").alias("status"), F.lit(None).cast("long").alias("depth"), "tool", "arguments", "output", "role")
-    rest = found.where("kind = 'message' or kind = 'result' and call_id is null").select("conv_id", "turn", "part", "call_id", F.when(F.col("kind") == "message", "message").otherwise("orphan").alias("status"), F.lit(None).cast("long").alias("depth"), "tool", "arguments", "output", "role")
+    # what has no identifier is linked with nothing, and not joined, as it would all meet in one task
+    alone = F.when(F.col("kind") == "message", "message").when(F.col("kind") == "call", "unanswered").otherwise("orphan")
+    rest = found.where("kind = 'message' or call_id is null").select("conv_id", "turn", "part", "call_id", alone.alias("status"), F.lit(None).cast("long").alias("depth"), "tool", "arguments", "output", "role")
     every = linked.unionByName(orphans).unionByName(again).unionByName(rest)
     shared = spark.sparkContext.broadcast(schemas)
 

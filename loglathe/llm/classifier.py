@@ -207,23 +207,25 @@ def classify(df: DataFrame, least: float = LEAST, through: tuple[str, ...] = ("d
             slots, values, per = features(data, offs, parts)
             ends = np.concatenate([[0], np.cumsum(per)])
             cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(v @ 3 ** np.arange(len(LABELLERS)), pa.int32()), cut(slots), cut(values)], ["doc_id", "pattern", "slots", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(v @ 3 ** np.arange(len(LABELLERS)), pa.int32()), cut(slots), cut(values)], ["place", "pattern", "slots", "values"])
 
-    # the documents of the smallest hashes, 9 / 10 of SAMPLE on average; the rest of SAMPLE is for chance
+    # the rows of the smallest hashes, copies and rows without identifiers each for itself: 9 / 10 of SAMPLE on average, the rest for chance
     share = int(min(1.0, 0.9 * SAMPLE / max(n, 1)) * (1 << 30))
-    picked = df.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(11)), F.lit(1 << 30)) < share).select("doc_id", "text").mapInArrow(sample, "doc_id long, pattern int, slots binary, values binary").orderBy("doc_id").limit(SAMPLE).toArrow()
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.coalesce("doc_id", F.lit(0)), F.lit(11)), F.lit(1 << 30))
+    picked = df.select(place.alias("place"), "text").where(F.col("place") < share).mapInArrow(sample, "place long, pattern int, slots binary, values binary").orderBy("place", "pattern", "slots", "values").limit(SAMPLE).toArrow()
     per = np.asarray(pc.binary_length(picked.column("slots").combine_chunks()), np.int64) // 4
     mixed = np.random.RandomState(5).permutation(len(per))
     slots, values = _joined(picked.column("slots"), np.int32), _joined(picked.column("values"), np.float32)
     begins = np.cumsum(per) - per
     goal = np.array([soft[p] for p in picked.column("pattern").to_pylist()])
     w, bias = fit_scorer(C.gather_spans(slots, begins[mixed], per[mixed]), C.gather_spans(values, begins[mixed], per[mixed]), per[mixed], goal[mixed])
+    trained = len(per) > 0
     del picked, slots, values
     C.release()
-    model = spark.sparkContext.broadcast((w, bias, soft))
+    model = spark.sparkContext.broadcast((w, bias, soft, trained))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, bias, soft = model.value
+        w, bias, soft, trained = model.value
         for batch in C.chunks(batches):
             data, offs = C.buffers(batch.column("text"))
             v, parts = votes(data, offs)
@@ -232,6 +234,7 @@ def classify(df: DataFrame, least: float = LEAST, through: tuple[str, ...] = ("d
             p = 1 / (1 + np.exp(-np.clip(np.bincount(own, w[slots] * values, len(per)) + bias, -30, 30)))
             pattern = v @ 3 ** np.arange(len(LABELLERS))
             mine = np.array([soft[x] for x in pattern.tolist()])
+            p = p if trained else mine  # copies of few texts can all stay outside of the sample
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in through), pa.array(pattern, pa.int32()), pa.array(mine), pa.array(p), pa.array((p >= least) & (parts["per"] > 0))], [*through, "pattern", "label", "score", "kept"])
 
     return df.select(*dict.fromkeys([*through, "text"])).mapInArrow(run, C.with_columns(df, through, "pattern int, label double, score double, kept boolean"))

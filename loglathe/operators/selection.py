@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..policy import BYTES_PER_TOKEN, PLACEHOLDER_BYTES, Policy
+from ..storage import stored
 from . import transcript as T
-from .ledgers import share
+from .ledgers import as_of, share
 
 
 def turn_folds(m: DataFrame) -> DataFrame:
@@ -76,19 +77,35 @@ def rungs(m: DataFrame, batches: DataFrame, policy: Policy) -> DataFrame:
 
 
 def split_by_size(m: DataFrame, cap: int) -> DataFrame:
-    """Pieces of a session's rows in order, each up to ``cap`` bytes, a larger row alone."""
-    rows = F.array_sort(F.collect_list(F.struct("idx", "nbytes")))
-    # one step of the fold over a session's rows: (number of the piece, bytes in it, pieces so far)
-    start = F.struct(F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<idx:bigint,piece:bigint,nbytes:bigint>>").alias("out"))
-
-    def step(acc, row):
-        fresh = (acc["used"] > 0) & (acc["used"] + row["nbytes"] > cap)
-        piece = F.when(fresh, acc["piece"] + 1).otherwise(acc["piece"])
-        used = F.when(fresh, row["nbytes"]).otherwise(acc["used"] + row["nbytes"])
-        return F.struct(piece.alias("piece"), used.alias("used"), F.concat(acc["out"], F.array(F.struct(row["idx"].alias("idx"), piece.alias("piece"), row["nbytes"].alias("nbytes")))).alias("out"))
-
-    r = m.groupBy("session").agg(F.aggregate(rows, start, step, lambda acc: acc["out"]).alias("out")).select("session", F.inline("out"))
-    return r.groupBy("session", "piece").agg(F.min("idx").alias("start"), (F.max("idx") + 1).alias("end"), F.sum("nbytes").alias("nbytes"))
+    """Pieces of a session's rows in order, each up to ``cap`` bytes, a larger row alone.
+
+    Sums of prefixes give for every row where the next piece would begin if one
+    began with it; the pieces are what is reached from the first row, found by
+    doubling those steps: a row for each row, in as many rounds as the logarithm
+    of the most pieces.
+    """
+    by = W.partitionBy("session").orderBy("idx")
+    r = m.select("session", "idx", "nbytes", F.row_number().over(by).cast("bigint").alias("n"), F.sum("nbytes").over(by).cast("bigint").alias("upto"))
+    r = stored(r.withColumn("before", F.col("upto") - F.col("nbytes")), "rows")
+    ends = r.groupBy("session", F.col("upto").alias("at")).agg(F.min("n").alias("n"))
+    starts = r.select("session", "n", "before", F.col("before").alias("at"))
+    # the first row that does not fit, but at least the one behind the first that has bytes
+    some = as_of(starts, ends.withColumnRenamed("n", "first"), "at", "first", forward=True).select("session", "n", "before", F.col("found").alias("filled"))
+    over = as_of(some.withColumn("at", F.col("before") + cap), ends.withColumnRenamed("n", "first"), "at", "first", forward=True)
+    last = r.groupBy("session").agg(F.max("n").alias("last"))
+    jump = over.select("session", "n", F.greatest("found", F.col("filled") + 1).alias("to"), F.col("found")).join(last, "session")
+    jump = stored(jump.select("session", "n", F.when(F.col("found").isNotNull() & (F.col("to") <= F.col("last")), F.col("to")).alias("to")), "jumps")
+    reached = stored(r.where("n = 1").select("session", "n"), "reached")
+    while True:
+        more = stored(reached.join(jump, ["session", "n"]).where("to is not null").select("session", F.col("to").alias("n")), "more")
+        if more.isEmpty():
+            break
+        reached = stored(reached.unionByName(more).distinct(), "reached")
+        farther = jump.select("session", F.col("n").alias("to"), F.col("to").alias("next"))
+        jump = stored(jump.where("to is not null").join(farther, ["session", "to"]).select("session", "n", F.col("next").alias("to")), "jumps")
+    begins = reached.withColumn("begins", F.lit(1))
+    p = r.join(begins, ["session", "n"], "left").withColumn("piece", (F.count("begins").over(by) - 1).cast("bigint"))
+    return p.groupBy("session", "piece").agg(F.min("idx").cast("bigint").alias("start"), (F.max("idx") + 1).cast("bigint").alias("end"), F.sum("nbytes").alias("nbytes"))
 
 
 def mark_accounts(m: DataFrame, policy: Policy) -> DataFrame:

@@ -30,9 +30,17 @@ def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line: lines that are no JSON value."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    return text.where("line <> '' and try_parse_json(line) is null").select("file", (F.col("n") + 1).alias("line"))
+    """file, line: lines that are no JSON value.
+
+    Files are read by lines and blocks; a window numbers a file's lines.
+    """
+    from pyspark.sql.window import Window as W
+
+    text = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("i"))
+    by = W.partitionBy("file_path").orderBy("file_block_start", "i")
+    wrong = (F.col("value") != "") & F.try_parse_json("value").isNull()
+    lines = text.select(F.col("file_path").alias("file"), wrong.alias("wrong"), F.row_number().over(by).alias("line"))
+    return lines.where("wrong").select("file", "line")
 
 
 def json_keys(text: Column) -> Column:

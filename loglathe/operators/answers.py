@@ -37,10 +37,11 @@ def candidates(rows: DataFrame, questions: DataFrame) -> DataFrame:
     w = windows(questions).withColumn("key", F.struct("session", "chain"))
     said = rows.where((F.col("role") == "assistant") & (F.trim("text") != "")).select("session", F.col("idx").cast("bigint").alias("idx"), "text")
     said = said.join(questions.select("session", "chain").distinct(), "session").withColumn("key", F.struct("session", "chain"))
-    last = as_of(said, w.select("key", F.col("at").cast("bigint").alias("idx"), "wave"), "idx", "wave", by="key").where("found is not null")
-    own = w.select("key", F.col("wave").alias("found"), "wave", "ids")
-    earlier = w.where("open").select("key", F.col("wave").alias("early"), "ids").join(w.select("key", F.col("wave").alias("found")), "key").where("early < found").select("key", "found", F.col("early").alias("wave"), "ids")
-    held = last.join(own.unionByName(earlier), ["key", "found"])
+    last = as_of(said, w.select("key", F.col("at").cast("bigint").alias("idx"), "wave"), "idx", "wave", by="key", strict=False).where("found is not null")
+    # a question's own row ends the window before it and is not in its own
+    own = w.select("key", F.col("wave").alias("found"), "wave", "ids", F.col("at").cast("bigint").alias("behind"))
+    earlier = w.where("open").select("key", F.col("wave").alias("early"), "ids").join(w.select("key", F.col("wave").alias("found")), "key").where("early < found").select("key", "found", F.col("early").alias("wave"), "ids", F.lit(-1).cast("bigint").alias("behind"))
+    held = last.join(own.unionByName(earlier), ["key", "found"]).where("idx > behind")
     n = F.row_number().over(W.partitionBy("session", "chain", "wave").orderBy("idx"))
     return held.select("session", "chain", "wave", "ids", "idx", "text").withColumn("n", n)
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import scalars as X
 from .ledgers import BY, share
+from .spans import held
 
 
 def by_kind(e: DataFrame) -> DataFrame:
@@ -99,7 +100,8 @@ def wedges(m: DataFrame, folds: DataFrame, limit_bytes: int) -> DataFrame:
 
 def chapter_briefs(m: DataFrame, chapters: DataFrame, cap: int = 200) -> DataFrame:
     """What users asked in each chapter, in order, then how its answers end, as far as the cap goes."""
-    r = chapters.select("session", "start", "end").join(m.select("session", "idx", "role", "text"), "session").where("idx >= start and idx < end")
+    spans = chapters.select("session", "start", "end").withColumn("begin", F.col("start")).withColumn("stop", F.col("end"))
+    r = held(m.select("session", "idx", "role", "text"), spans, "begin", "stop").withColumnsRenamed({"begin": "start", "stop": "end"})
     piece = F.when(F.col("role") == "user", F.concat(F.lit("User: "), F.left(X.one_line(F.col("text")), F.lit(40)))).when(F.col("role") == "assistant", F.concat(F.lit("Assistant: "), F.right(X.one_line(F.col("text")), F.lit(40))))
     r = r.withColumn("piece", piece).where("piece is not null")
     by = W.partitionBy("session", "start").orderBy("idx")

@@ -26,16 +26,19 @@ def oldest_batch(b: DataFrame, least: int) -> DataFrame:
 
 
 def chapter(m: DataFrame, policy: Policy) -> DataFrame:
-    """The first turn from which adjacent complete turns fit a chapter, and the longest such run."""
-    t = turn_folds(m).select("session", "turn", "start", "end", "nbytes")
+    """The first turn from which adjacent complete turns fit a chapter, and the longest such run.
+
+    A chapter has few turns at most, so a row looks at that many behind it.
+    """
     by = W.partitionBy("session").orderBy("turn")
-    t = t.withColumn("upto", F.sum("nbytes").over(by))
-    b = t.select("session", F.col("turn").alias("to"), F.col("end").alias("stop"), F.col("upto").alias("sum"), F.row_number().over(by).alias("m"))
-    a = t.withColumn("n", F.row_number().over(by))
-    near = (F.col("to") >= F.col("turn")) & (F.col("to") < F.col("turn") + policy.max_chapter_turns) & (F.col("to") - F.col("turn") == F.col("m") - F.col("n"))
-    r = a.join(b, "session").where(near).withColumn("bytes", F.col("sum") - F.col("upto") + F.col("nbytes"))
-    r = r.where(F.col("bytes").between(policy.min_chapter_chars, policy.max_chapter_chars))
-    best = r.groupBy("session", "turn", "start").agg(F.max(F.struct("to", "stop", "bytes")).alias("x"))
+    t = turn_folds(m).select("session", "turn", "start", "end", "nbytes", F.sum("nbytes").over(by).alias("upto"))
+
+    def run(k: int):
+        to, size = F.lead("turn", k).over(by), F.lead("upto", k).over(by) - F.col("upto") + F.col("nbytes")
+        fits = (to == F.col("turn") + k) & size.between(policy.min_chapter_chars, policy.max_chapter_chars)
+        return F.when(fits, F.struct(to.alias("to"), F.lead("end", k).over(by).alias("stop"), size.alias("bytes")))
+
+    best = t.withColumn("x", F.array_max(F.array(*(run(k) for k in range(policy.max_chapter_turns))))).where("x is not null")
     first = F.row_number().over(W.partitionBy("session").orderBy("start")) == 1
     return best.withColumn("first", first).where("first").select("session", "turn", "start", F.col("x.to").alias("to"), F.col("x.stop").alias("end"), F.col("x.bytes").alias("bytes"))
 

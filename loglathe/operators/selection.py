@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..policy import BYTES_PER_TOKEN, PLACEHOLDER_BYTES, Policy
-from ..storage import stored
+from ..storage import discard, stored
 from . import transcript as T
 from .ledgers import as_of, share
 
@@ -103,9 +103,12 @@ def split_by_size(m: DataFrame, cap: int) -> DataFrame:
         more = stored(reached.join(jump, ["session", "n"]).where("to is not null").select("session", F.col("to").alias("n")), "more")
         if more.isEmpty():
             break
-        reached = stored(reached.unionByName(more).distinct(), "reached")
         farther = jump.select("session", F.col("n").alias("to"), F.col("to").alias("next"))
+        past = reached, more, jump
+        reached = stored(reached.unionByName(more).distinct(), "reached")
         jump = stored(jump.where("to is not null").join(farther, ["session", "to"]).select("session", "n", F.col("next").alias("to")), "jumps")
+        for table in past:
+            discard(table)
     begins = reached.withColumn("begins", F.lit(1))
     p = r.join(begins, ["session", "n"], "left").withColumn("piece", (F.count("begins").over(by) - 1).cast("bigint"))
     return p.groupBy("session", "piece").agg(F.min("idx").cast("bigint").alias("start"), (F.max("idx") + 1).cast("bigint").alias("end"), F.sum("nbytes").alias("nbytes"))

@@ -112,8 +112,8 @@ def millionths(x) -> Column:
 def affinities(e: DataFrame) -> DataFrame:
     """vec_id, label, candidate, score: products of all vectors with all labels' centroids."""
     c = centroids(e).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("v")).select(F.col("label").alias("candidate"), F.transform("v", lambda x: x["c"]).alias("c"))
-    # as many rows as labels; each is one vector long
-    r = e.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v")).crossJoin(F.broadcast(c))
+    # as many rows as labels, each one vector long; Spark looks at their size before it chooses how to join
+    r = e.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v")).crossJoin(c)
     dot = F.aggregate(F.zip_with("v", "c", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
     return r.select("vec_id", "label", "candidate", F.round(dot, 6).alias("score"))
 
@@ -131,7 +131,7 @@ def contrasts(a: DataFrame) -> DataFrame:
     """The candidate whose score rises most over its mean score, and by how much over the second."""
     neutral = a.groupBy("candidate").agg((millionths(F.col("score")) / 1e6).alias("neutral"))
     by = W.partitionBy("vec_id").orderBy(F.desc("lift"), "candidate")
-    r = a.join(F.broadcast(neutral), "candidate").withColumn("lift", F.round(F.col("score") - F.col("neutral"), 6))  # a row for each label
+    r = a.join(neutral, "candidate").withColumn("lift", F.round(F.col("score") - F.col("neutral"), 6))
     r = r.withColumn("rank", F.row_number().over(by)).withColumn("second", F.lead("lift").over(by)).where("rank = 1")
     return r.select("vec_id", "candidate", "lift", F.round(F.col("lift") - F.col("second"), 6).alias("margin"), (F.col("candidate") == F.col("label")).alias("right"))
 

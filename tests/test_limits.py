@@ -2,11 +2,15 @@
 
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from loglathe import catalogue
 from loglathe.operators import scoring, states
 
+from . import oracle
+
 
 @pytest.mark.parametrize("p", [0.5, 0.2])
 def test_binomial_tail_of_groups_of_any_size(spark, p):
@@ -35,3 +39,17 @@ def test_projections_longer_than_32_events(spark):
     assert got == want
     n = {r["change"]: (r["n"], r["common"]) for r in states.change_rollup(states.successive(e)).collect()}
     assert n == {c: (sum(x[0] == c for x in want.values()), sum(x[1] for x in want.values() if x[0] == c)) for c in ("append", "rewrite", "identical")}
+
+
+def test_binomial_tails_of_larger_tables_equal_their_oracles_and_are_whole(spark, tmp_path):
+    for name, rest in (("documents", "n_chars"), ("labels", "quality, toxic")):
+        duckdb.sql(f"COPY (SELECT doc_id + k * 10000000 AS doc_id, {rest} FROM '/root/testdata/sf0.01/{name}.parquet', range(40) r(k)) TO '{tmp_path}/{name}.parquet'")
+    db = duckdb.connect()
+    for name in ("documents", "labels"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    groups = []
+    for name in ("binomial_tail", "binomial_tail_large"):
+        assert oracle.difference(spark, db, catalogue.QUERIES[name], catalogue.ORACLE_SQL[name], str(tmp_path)) == ""
+        groups += [r["n"] for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()]
+    labels, documents = (spark.read.parquet(f"{tmp_path}/{name}.parquet") for name in ("labels", "documents"))
+    assert min(groups) <= 60 < max(groups) and sum(groups) == labels.join(documents, "doc_id").count()

@@ -2,8 +2,8 @@
 
 A shape takes a VARIANT column and the name of the place, and gives the name of
 the first thing that is wrong there, or null.  Shapes are put together from
-types, bounds, lists, maps and records; nothing is parsed twice and no Python
-runs on rows.
+types, bounds, lists, maps and records; nothing is parsed or looked up twice and
+no Python runs on rows.
 """
 
 from __future__ import annotations
@@ -24,9 +24,27 @@ def field(value: Column, name: str, kind: str = "variant") -> Column:
     return F.try_variant_get(value, f"$.{name}", kind)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use).getItem(0)
+
+
 def kind(value: Column) -> Column:
-    """OBJECT, ARRAY, STRING, BOOLEAN, VOID (null), or the type of a number; null for what is missing."""
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    """STRING, BIGINT, DOUBLE or another scalar, a decimal with its digits, or the shape of what is nested; null for what is missing."""
+    return F.schema_of_variant(value)
+
+
+def _string(value: Column) -> Column:
+    return bound(value, lambda x: F.when(kind(x) == "STRING", F.try_variant_get(x, "$", "string")))
+
+
+def _number(value: Column) -> Column:
+    return bound(value, lambda x: F.when(bound(kind(x), lambda k: k.isin("BIGINT", "DOUBLE") | k.startswith("DECIMAL")), F.try_variant_get(x, "$", "double")))
+
+
+def _members(value: Column) -> Column:
+    """A record's fields, null for what is no record."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
 
 def _unless(fits: Column, at: str) -> Column:
@@ -34,34 +52,25 @@ def _unless(fits: Column, at: str) -> Column:
 
 
 def keys(value: Column) -> Column:
-    return F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+    return F.map_keys(_members(value))
 
 
 def text(pattern: str | None = None, least: int = 1, most: int | None = None) -> Shape:
-    def check(value: Column, at: str) -> Column:
-        own = F.try_variant_get(value, "$", "string")
-        fits = (kind(value) == "STRING") & (F.length(own) >= least)
+    def fits(own: Column) -> Column:
+        fits = F.length(own) >= least
         fits = fits & own.rlike(pattern) if pattern else fits
-        return _unless(fits & (F.length(own) <= most) if most is not None else fits, at)
+        return fits & (F.length(own) <= most) if most is not None else fits
 
-    return check
+    return lambda value, at: bound(_string(value), lambda own: _unless(fits(own), at))
 
 
 def whole(least: int = 0, most: int = LARGEST) -> Shape:
-    def check(value: Column, at: str) -> Column:
-        own = F.try_variant_get(value, "$", "double")
-        return _unless(kind(value).isin("BIGINT", "DECIMAL", "DOUBLE") & (own == F.floor(own)) & own.between(least, most), at)
-
-    return check
+    return lambda value, at: bound(_number(value), lambda own: _unless((own == F.floor(own)) & own.between(least, most), at))
 
 
 def one_of(*values: str | int) -> Shape:
-    def check(value: Column, at: str) -> Column:
-        strings = isinstance(values[0], str)
-        own = F.try_variant_get(value, "$", "string" if strings else "double")
-        return _unless((kind(value) == "STRING" if strings else kind(value).isin("BIGINT", "DECIMAL", "DOUBLE")) & own.isin(*values), at)
-
-    return check
+    read = _string if isinstance(values[0], str) else _number
+    return lambda value, at: _unless(read(value).isin(*values), at)
 
 
 def nothing(value: Column, at: str) -> Column:
@@ -73,10 +82,13 @@ def either(*shapes: Shape) -> Shape:
     """One of the shapes at least fits."""
 
     def check(value: Column, at: str) -> Column:
-        wrong = F.lit(True)
-        for shape in shapes:
-            wrong = wrong & shape(value, at).isNotNull()
-        return F.when(wrong, F.lit(at))
+        def wrong(x: Column) -> Column:
+            out = F.lit(True)
+            for shape in shapes:
+                out = out & shape(x, at).isNotNull()
+            return F.when(out, F.lit(at))
+
+        return bound(value, wrong)
 
     return check
 
@@ -85,12 +97,13 @@ def items(shape: Shape, most: int, least: int = 0, unique: Callable[[Column], Co
     """A list of so many values, each of the shape, with different ``unique`` values."""
 
     def check(value: Column, at: str) -> Column:
-        own = F.try_variant_get(value, "$", "array<variant>")
-        broken = F.exists(own, lambda x: shape(x, at).isNotNull())
-        fits = (kind(value) == "ARRAY") & F.size(own).between(least, most) & ~broken
-        if unique:
-            fits = fits & (F.size(F.array_distinct(F.transform(own, unique))) == F.size(own))
-        return _unless(fits, at)
+        def wrong(own: Column) -> Column:
+            fits = own.isNotNull() & F.size(own).between(least, most) & ~F.exists(own, lambda x: shape(x, at).isNotNull())
+            if unique:
+                fits = fits & (F.size(F.array_distinct(F.transform(own, unique))) == F.size(own))
+            return _unless(fits, at)
+
+        return bound(F.try_variant_get(value, "$", "array<variant>"), wrong)
 
     return check
 
@@ -99,9 +112,11 @@ def entries(shape: Shape, most: int) -> Shape:
     """A record of any names that are not empty, so many at most, each value of the shape."""
 
     def check(value: Column, at: str) -> Column:
-        own = F.try_variant_get(value, "$", "map<string,variant>")
-        broken = F.exists(F.map_values(own), lambda x: shape(x, at).isNotNull()) | F.exists(F.map_keys(own), lambda k: k == "")
-        return _unless((kind(value) == "OBJECT") & (F.size(own) <= most) & ~broken, at)
+        def wrong(own: Column) -> Column:
+            broken = F.exists(F.map_values(own), lambda x: shape(x, at).isNotNull()) | F.exists(F.map_keys(own), lambda k: k == "")
+            return _unless(own.isNotNull() & (F.size(own) <= most) & ~broken, at)
+
+        return bound(_members(value), wrong)
 
     return check
 
@@ -114,15 +129,17 @@ def record(required: dict[str, Shape], optional: dict[str, Shape] | None = None,
     optional = optional or {}
 
     def check(value: Column, at: str) -> Column:
-        own = keys(value)
-        names = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
-        fits = (kind(value) == "OBJECT") & (F.size(F.array_except(names(required), own)) == 0)
-        if exact:
-            fits = fits & (F.size(F.array_except(own, names([*required, *optional]))) == 0)
-        found = [_unless(fits, at)]
-        found += [shape(field(value, name), name) for name, shape in required.items()]
-        found += [F.when(F.array_contains(own, name), shape(field(value, name), name)) for name, shape in optional.items()]
-        return F.coalesce(*found)
+        def wrong(own: Column) -> Column:
+            names = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+            fits = own.isNotNull() & (F.size(F.array_except(names(required), F.map_keys(own))) == 0)
+            if exact:
+                fits = fits & (F.size(F.array_except(F.map_keys(own), names([*required, *optional]))) == 0)
+            found = [_unless(fits, at)]
+            found += [shape(F.try_element_at(own, F.lit(name)), name) for name, shape in required.items()]
+            found += [F.when(F.map_contains_key(own, name), shape(F.try_element_at(own, F.lit(name)), name)) for name, shape in optional.items()]
+            return F.coalesce(*found)
+
+        return bound(_members(value), wrong)
 
     return check
 

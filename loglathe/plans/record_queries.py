@@ -65,30 +65,30 @@ def _filled(text, **values):
     return text
 
 
+def _broken(whole, cases):
+    """The text ``whole`` with its row's case, by number ``case``, worked in; each step is a column, worked out once."""
+    r = whole.withColumn("old", _pick(cases, 0, F.col("case"))).withColumn("new", _pick(cases, 1, F.col("case"))).withColumn("at", F.instr("whole", F.col("old")))
+    text, old, at = F.col("whole"), F.col("old"), F.col("at")
+    cut = F.when(old == "", text).when(old == "}", F.left(text, F.length(text) - 1)).otherwise(F.concat(F.left(text, at - 1), "new", F.substr(text, at + F.length(old))))
+    return r.withColumn("json", cut)
+
+
 def states(s, d):
     """session, ordinal, json: every fourth a checkpoint."""
-    e = A.log(s, d).select("session", "ordinal")
     check = F.col("ordinal") % 4 == 0
     case = (F.when(check, F.col("ordinal") % len(STATES)).otherwise(F.col("ordinal") % len(CASES)) + 1).cast("int")
-    base = F.when(check, F.lit(CHECKPOINT)).otherwise(F.lit(DELTA))
-    old, new = _pick(CASES, 0, case), _pick(CASES, 1, case)
-    at = F.instr(base, old)
-    broken = F.when(old == "", base).when(old == "}", F.left(base, F.length(base) - 1)).otherwise(F.concat(F.left(base, at - 1), new, F.substr(base, at + F.length(old))))
-    return e.select("session", "ordinal", _filled(broken, S=F.col("session").cast("string"), R=F.col("ordinal").cast("string"), B=(F.col("ordinal") - 1).cast("string")).alias("json"))
+    e = A.log(s, d).select("session", "ordinal", case.alias("case"), F.when(check, F.lit(CHECKPOINT)).otherwise(F.lit(DELTA)).alias("whole"))
+    return _broken(e, CASES).select("session", "ordinal", _filled(F.col("json"), S=F.col("session").cast("string"), R=F.col("ordinal").cast("string"), B=(F.col("ordinal") - 1).cast("string")).alias("json"))
 
 
 def folds(s, d):
-    e = A.log(s, d).select("session", "ordinal")
+    e = A.log(s, d).select("session", "ordinal", (F.col("ordinal") % len(FOLDS) + 1).cast("int").alias("case"), F.col("ordinal").cast("string").alias("number"))
     parts = F.lit(FOLD[FOLD.index('"parts":') + 8 : FOLD.index(',"placeholderChars"')])
-    number = F.col("ordinal").cast("string")
-    ident = F.concat(F.lit("fold_"), F.left(F.sha2(F.concat(F.lit('{"kind":"chapter","parts":'), F.replace(parts, F.lit("@R"), number), F.lit("}")), 256), F.lit(24)))
-    fold = _filled(F.lit(FOLD), I=ident, R=number)
-    whole = F.concat(F.lit('{"version":1,"sessionId":"@S","foldId":"@I","recordSha256":"'), F.sha2(fold, 256), F.lit('","fold":'), fold, F.lit("}"))
-    case = (F.col("ordinal") % len(FOLDS) + 1).cast("int")
-    old, new = _pick(FOLDS, 0, case), _pick(FOLDS, 1, case)
-    at = F.instr(whole, old)
-    broken = F.when(old == "", whole).otherwise(F.concat(F.left(whole, at - 1), new, F.substr(whole, at + F.length(old))))
-    return e.select("session", "ordinal", _filled(broken, S=F.col("session").cast("string"), I=ident).alias("json"))
+    ident = F.concat(F.lit("fold_"), F.left(F.sha2(F.concat(F.lit('{"kind":"chapter","parts":'), F.replace(parts, F.lit("@R"), F.col("number")), F.lit("}")), 256), F.lit(24)))
+    e = e.withColumn("ident", ident).withColumn("own", _filled(F.lit(FOLD), I=F.col("ident"), R=F.col("number")))
+    whole = F.concat(F.lit('{"version":1,"sessionId":"@S","foldId":"@I","recordSha256":"'), F.sha2("own", 256), F.lit('","fold":'), "own", F.lit("}"))
+    r = _broken(e.withColumn("whole", whole), FOLDS)
+    return r.select("session", "ordinal", _filled(F.col("json"), S=F.col("session").cast("string"), I=F.col("ident")).alias("json"))
 
 
 def why(cases) -> str:

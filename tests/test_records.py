@@ -53,3 +53,10 @@ def test_shapes_name_the_first_breach(spark):
     rows = ['{"a":1,"b":[]}', '{"a":0,"b":[]}', '{"a":1,"b":["x","q"]}', '{"a":1,"b":["x","x","x"]}', '{"a":1,"b":[],"c":null}', '{"a":1,"b":[],"c":"z"}', '{"a":1}', '{"a":9,"b":7}']
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, json string").select("i", shape(F.try_parse_json("json"), "keys").alias("why"))
     assert [r.why for r in df.orderBy("i").collect()] == [None, "a", "b", "b", None, "c", "keys", "a"]
+
+
+def test_shapes_work_a_value_out_once(spark):
+    df = spark.createDataFrame([(1, json.dumps(STATE))], "session long, json string")
+    for shape in (records.CHECKPOINT, records.DELTA, records.FOLD, records.MARK, records.PROVENANCE, records.ANY, shapes.whole(), shapes.entries(shapes.whole(), 3), records.STRINGS(4)):
+        plan = df.select(shape(F.try_parse_json("json"), "keys").alias("why"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("parse_json") == 1

@@ -169,8 +169,12 @@ def parsed(spans: str | None) -> list[tuple[str, int, int]]:
     return [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in (spans or "").split(",") if x)]
 
 
-def scan(df: DataFrame, through: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``through``, n_assign, n_access, n_hex, n_markov, base_sha256, spans (joined as kind:start:end)."""
+def scan(df: DataFrame, through: tuple[str, ...] = ("doc_id",), replace: bool = False) -> DataFrame:
+    """The columns ``through``, n_assign, n_access, n_hex, n_markov, base_sha256, spans (joined as kind:start:end).
+
+    With ``replace`` only the columns ``through``, every secret of ``text`` replaced:
+    in the same worker, as a second one a task would hold the texts once more.
+    """
     carried = tuple(dict.fromkeys([*through, "text"]))
     found = C.stored(find(df, carried), "spans")
     tables = add_tables(found.where("secret is not null").coalesce(C.tasks(df.sparkSession))).toArrow()
@@ -203,23 +207,21 @@ def scan(df: DataFrame, through: tuple[str, ...] = ("doc_id",)) -> DataFrame:
                 spans.append(joined(mine))
                 for kind, _, _ in mine:
                     counts[i, KINDS.index(kind)] += 1
+            if replace:
+                texts = pa.array([redact(t, s) for t, s in zip(batch.column("text").to_pylist(), spans)], pa.string())
+                yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(c) for c in through], list(through))
+                continue
             sha = [hashlib.sha256((x or "").encode()).hexdigest() for x in batch.column("base").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in through), *(pa.array(counts[:, i]) for i in range(len(KINDS))), pa.array(sha), pa.array(spans, pa.string())], [*through, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    kinds = "n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string"
+    kinds = "" if replace else "n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string"
     return found.where("secret is null").select(*carried, "base").mapInArrow(run, C.with_columns(found, through, kinds))
 
 
 def redacted(df: DataFrame) -> DataFrame:
     """The same table with every secret in ``text`` replaced, and n_chars as it is then."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [redact(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
-            yield batch.drop_columns(["spans"]).set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-
     columns = tuple(df.columns)
-    out = scan(df, columns).select(*columns, "spans").mapInArrow(run, C.with_columns(df, columns, ""))
+    out = scan(df, columns, replace=True)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns) if "n_chars" in columns else out
 
 

@@ -159,6 +159,12 @@ def test_pipeline_redacts(spark):
     assert out[9]["text"] is None
 
 
+def test_redaction_takes_one_worker_a_task(spark):
+    docs = spark.createDataFrame([(1, "token = abcdef0123456789", 0)], "doc_id long, text string, n_chars long")
+    plan = secrets.redacted(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 # ------------------------------------------------------- identifiers, hot keys
 def test_repeated_and_null_identifiers_keep_their_own_links(spark):
     near = lambda x: [1.0, x, 0.0, 0.0]

@@ -473,3 +473,27 @@ def test_every_message_is_formatted_once(spark):
     results = sum(1 for r in plain.itertuples() if r.role == "assistant" and ((plain.conv_id == r.conv_id) & (plain.turn == r.turn - 1) & (plain.role == "user")).any())
     assert len(lines) == len(plain) - results
     assert all(json.dumps(json.loads(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False) == x for x in lines.line)
+
+
+def test_initial_weights_come_from_all_training_documents(spark, odd, monkeypatch):
+    """Each bit of each training document, once, with the markers' shares of the other half; none held out."""
+    seen, train = [], mixing.train_mixer
+
+    def noted(made, lex, model, half):
+        sums, bends = train(made, lex, model, half)
+        seen.append((half, made, lex, model.value, bends))
+        bits = np.zeros(3)
+        for row in made.select(*mixing.FOUND).collect():
+            block = row.asDict() | mixing.read_block(row["file"], *mixing.NEEDED, "ids")
+            folds = mixing.opened(block["folds"], np.int64)
+            of = (folds != mixing.HELD_OUT) & ((folds > 3) == half)
+            for use, found, _ in mixing.pieces(block, lex.value, model.value):
+                bits += [np.isin(s["doc"], np.flatnonzero(of[use])).sum() for s in found]
+        got = [b.sum() / b.shape[1] / mixing.CURVE for b in mixing.apart(bends)]
+        assert bits.all() and np.allclose(got, bits)
+        return sums, bends
+
+    monkeypatch.setattr(mixing, "train_mixer", noted)
+    assert mixing.score(odd).count() == odd.count()
+    assert [x[0] for x in seen] == [0, 1]
+    assert not np.array_equal(seen[0][3]["markers"], seen[1][3]["markers"])

@@ -15,6 +15,8 @@ from ..storage import stored
 from .containment import contained
 
 K1, B = 1.5, 0.75
+#: Tokens of which a term has more than one, if it is broadcast.
+FREQUENT = 100_000
 #: Lines by which a ranking is promoted or dropped, and queries at least.
 PROMOTE, KILL, MARGIN, LEAST_QUERIES = {"r5": 0.80, "r1": 0.50}, 0.60, 0.10, 20
 
@@ -111,11 +113,22 @@ def two_channels(docs: DataFrame, briefs: DataFrame, queries: DataFrame) -> Data
 
 
 def salience(docs: DataFrame) -> DataFrame:
-    """Each document's sentence of the highest mean ln(N / (1 + df)) of its terms."""
+    """Each document's sentence of the highest mean ln(N / (1 + df)) of its terms.
+
+    Texts are tokenised once: no token goes beyond a sentence.
+    """
     sentences = docs.select("doc", F.posexplode(F.split("text", "[.!?]\\s+")).alias("n", "sentence"))
-    df = postings(docs).groupBy("term").agg(F.count("*").alias("df"))
+    sentences = stored(sentences.select("doc", "n", X.retrieval_tokens(F.col("sentence")).alias("tokens")), "sentences")
+    tf = sentences.select("doc", F.explode("tokens").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    df = stored(tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "terms")
     n = docs.agg(F.count("*").alias("total"))
-    t = sentences.select("doc", "n", F.explode(X.retrieval_tokens(F.col("sentence"))).alias("term")).join(df, "term").crossJoin(F.broadcast(n))  # one row
+    size = df.agg(F.coalesce(F.sum("cf"), F.lit(0))).first()[0]
+    # terms with more than one token in FREQUENT are FREQUENT at most: broadcast, so that their tokens stay where they are
+    hot = F.col("cf") * FREQUENT > size
+    tokens = sentences.select("doc", "n", F.explode("tokens").alias("term"))
+    known = tokens.join(F.broadcast(df.where(hot).select("term", "df")), "term", "left")
+    rest = known.where("df is null").drop("df").join(df.where(~hot).select("term", "df"), "term")
+    t = known.where("df is not null").select("doc", "n", "df").unionByName(rest.select("doc", "n", "df")).crossJoin(F.broadcast(n))  # one row
     s = t.groupBy("doc", "n").agg(F.round(F.avg(F.log(F.col("total") / (1.0 + F.col("df")))), 6).alias("score"), F.count("*").alias("terms"))
     first = F.row_number().over(W.partitionBy("doc").orderBy(F.desc("score"), "n"))
     return s.withColumn("first", first).where("first = 1").select("doc", "n", "score", "terms")

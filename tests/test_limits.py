@@ -53,3 +53,16 @@ def test_binomial_tails_of_larger_tables_equal_their_oracles_and_are_whole(spark
         groups += [r["n"] for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()]
     labels, documents = (spark.read.parquet(f"{tmp_path}/{name}.parquet") for name in ("labels", "documents"))
     assert min(groups) <= 60 < max(groups) and sum(groups) == labels.join(documents, "doc_id").count()
+
+
+def test_salience_tokenises_texts_once(spark):
+    """What is left to run reads stored tokens; a rare and a frequent term count alike."""
+    from loglathe.operators import retrieval as R
+
+    docs = spark.createDataFrame([(1, "alpha beta. gamma alpha"), (2, "alpha. beta! delta"), (2, "delta"), (3, None), (4, "")], "doc long, text string")
+    got = []
+    for R.FREQUENT in (1, 100_000):  # all terms by the shuffle, all by the broadcast
+        r = R.salience(docs)
+        assert "regexp_extract_all" not in r._jdf.queryExecution().optimizedPlan().toString()
+        got.append(sorted(map(tuple, r.collect())))
+    assert got[0] == got[1] and [x[0] for x in got[0]] == [1, 2]

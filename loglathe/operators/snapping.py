@@ -33,9 +33,10 @@ def index(rows: DataFrame, roots: DataFrame, units: DataFrame, max_turns: int) -
     u = units.join(turns.select("session", "turn", "cap"), ["session", "turn"]).withColumn("us", F.col("start")).withColumn("ue", F.col("end"))
     r = covering(rows.withColumnRenamed("pos", "idx"), roots.select("session", "fold", "start", F.col("end").alias("re"), (F.col("end") + 1).alias("end"), F.col("start").alias("rs")), "fold", "rs", "re")
     r = covering(r, u, "us", "ue", "cap")
-    by = W.partitionBy("session").orderBy("idx")
-    first = F.first(F.when(F.col("us") == F.col("idx"), F.struct("ue", "cap")), True).over(by.rowsBetween(W.currentRow, W.unboundedFollowing))
-    done = F.last(F.when(F.col("ue") == F.col("idx") + 1, F.col("ue")), True).over(by.rowsBetween(W.unboundedPreceding, W.currentRow))
+    # from the last row back, so that a row adds to what the ones after it hold: frames that end with the session would be read again for each row
+    by = lambda order: W.partitionBy("session").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    first = F.last(F.when(F.col("us") == F.col("idx"), F.struct("ue", "cap")), True).over(by(F.desc("idx")))
+    done = F.last(F.when(F.col("ue") == F.col("idx") + 1, F.col("ue")), True).over(by("idx"))
     r = r.withColumn("first", first).withColumn("done", done)
     inside = F.col("us").isNotNull()
     return r.select("session", F.col("idx").alias("pos"), "fold", "rs", "re", "us", "ue", F.when(inside, F.col("ue")).otherwise(F.col("first.ue")).alias("f"), F.when(inside, F.col("cap")).otherwise(F.col("first.cap")).alias("cap"), "done")

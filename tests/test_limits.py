@@ -66,3 +66,15 @@ def test_salience_tokenises_texts_once(spark):
         assert "regexp_extract_all" not in r._jdf.queryExecution().optimizedPlan().toString()
         got.append(sorted(map(tuple, r.collect())))
     assert got[0] == got[1] and [x[0] for x in got[0]] == [1, 2]
+
+
+def test_index_of_positions_has_no_frame_to_the_end(spark):
+    """Such frames are read again for each row of a session."""
+    from loglathe.operators import snapping as S
+
+    rows = spark.createDataFrame([(1, p) for p in range(1, 9)], "session long, pos long")
+    roots = spark.createDataFrame([], "session long, fold string, start long, end long, tool boolean")
+    units = spark.createDataFrame([(1, 2, 4, 1), (1, 6, 8, 2)], "session long, start long, end long, turn long")
+    r = S.index(rows, roots, units, 2)
+    assert "unboundedfollowing" not in r._jdf.queryExecution().analyzed().toString().lower()
+    assert {x["pos"]: (x["f"], x["cap"], x["done"]) for x in r.collect()} == {1: (4, 8, None), 2: (4, 8, None), 3: (4, 8, 4), 4: (8, None, 4), 5: (8, None, 4), 6: (8, None, 4), 7: (8, None, 8), 8: (None, None, 8)}

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 #: Bytes of texts in a piece, and facts in a shard.
 PIECE, SHARD = 16 << 20, 20_000
 
@@ -29,10 +31,11 @@ def contained(texts: DataFrame, facts: DataFrame) -> DataFrame:
     """session, fact, item, each once: over columns session, item, text and session, fact, value.
 
     Identifiers come back as strings.  Null or empty values occur nowhere, null
-    texts hold nothing; sessions that are null meet only each other.
+    texts hold nothing; sessions that are null meet only each other.  Both tables
+    are stored, as they are read several times.
     """
-    t = texts.where("text is not null").select("session", F.col("item").cast("string").alias("id"), "text")
-    f = facts.where("value <> ''").select("session", F.col("fact").cast("string").alias("id"), F.col("value").alias("text"))
+    t = stored(texts.where("text is not null").select("session", F.col("item").cast("string").alias("id"), "text"), "texts")
+    f = stored(facts.where("value <> ''").select("session", F.col("fact").cast("string").alias("id"), F.col("value").alias("text")), "facts")
     # a session without facts is not read
     t = t.join(f.select("session").distinct().withColumnRenamed("session", "asked"), F.col("session").eqNullSafe(F.col("asked")), "left_semi")
     pieces, shards = _dealt(t, F.octet_length("text").cast("bigint"), PIECE, "pieces"), _dealt(f, F.lit(1), SHARD, "shards")

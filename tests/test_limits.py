@@ -78,3 +78,14 @@ def test_index_of_positions_has_no_frame_to_the_end(spark):
     r = S.index(rows, roots, units, 2)
     assert "unboundedfollowing" not in r._jdf.queryExecution().analyzed().toString().lower()
     assert {x["pos"]: (x["f"], x["cap"], x["done"]) for x in r.collect()} == {1: (4, 8, None), 2: (4, 8, None), 3: (4, 8, 4), 4: (8, None, 4), 5: (8, None, 4), 6: (8, None, 4), 7: (8, None, 8), 8: (None, None, 8)}
+
+
+def test_carriage_reads_stored_texts(spark):
+    """What is left to run after ``contained`` is put together reads its two tables as stored."""
+    from loglathe.operators import containment
+
+    texts = spark.createDataFrame([(1, 7, "one two")], "session long, item long, text string").withColumn("text", F.upper("text"))
+    facts = spark.createDataFrame([(1, 3, "TWO")], "session long, fact long, value string")
+    r = containment.contained(texts, facts)
+    assert "upper(" not in r._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(x) for x in r.collect()] == [(1, "3", "7")]

@@ -49,19 +49,30 @@ def descends(e: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------- forest
 def folds(m: DataFrame) -> DataFrame:
-    """Three levels for each session: complete turns, chapters of two turns, one consolidation of all."""
+    """Three levels for each session: complete turns, chapters of two turns, one consolidation of all.
+
+    A turn's row brings those of the chapter and of the session that begin with
+    it: all come from one pass over the turns in order.
+    """
     t = S.turn_folds(m).select("session", "turn", "start", "end", "nbytes")
-    by = W.partitionBy("session").orderBy("turn")
-    t = t.withColumn("chapter", F.floor((F.row_number().over(by) - 1) / 2))
-    t = t.withColumn("mates", F.count("*").over(W.partitionBy("session", "chapter")))
+    by, whole = W.partitionBy("session").orderBy("turn"), W.partitionBy("session")
+    t = t.withColumn("i", F.row_number().over(by) - 1).withColumn("mate", F.lead(F.struct("start", "end", "nbytes")).over(by))
+    t = t.withColumn("all", F.struct(F.min("start").over(whole).alias("start"), F.max("end").over(whole).alias("end"), F.sum("nbytes").over(whole).alias("nbytes")))
     name = lambda kind, *cols: F.concat_ws("-", F.lit(kind), "session", *cols)
-    paired = F.col("mates") == 2
-    turns = t.select("session", name("turn", "turn").alias("fold"), F.lit("turn").alias("kind"), F.when(paired, name("chapter", "chapter")).otherwise(name("all")).alias("parent"), "start", "end", "nbytes")
-    c = t.where(paired).groupBy("session", "chapter").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("nbytes").alias("nbytes"))
-    chapters = c.select("session", name("chapter", "chapter").alias("fold"), F.lit("chapter").alias("kind"), name("all").alias("parent"), "start", "end", "nbytes")
-    a = t.groupBy("session").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("nbytes").alias("nbytes"))
-    alls = a.select("session", name("all").alias("fold"), F.lit("all").alias("kind"), F.lit(None).cast("string").alias("parent"), "start", "end", "nbytes")
-    return turns.unionByName(chapters).unionByName(alls)
+    first = F.col("i") % 2 == 0
+    root, chapter = name("all"), name("chapter", F.floor(F.col("i") / 2))
+    opens = first & F.col("mate").isNotNull()
+
+    def fold(own, kind: str, parent, x=None):
+        at = (lambda c: F.col(c)) if x is None else (lambda c: x[c])
+        return F.struct(own.alias("fold"), F.lit(kind).alias("kind"), parent.alias("parent"), at("start").alias("start"), at("end").alias("end"), at("nbytes").alias("nbytes"))
+
+    size, other = F.col("nbytes"), F.col("mate.nbytes")
+    both = F.struct(F.least("start", "mate.start").alias("start"), F.greatest("end", "mate.end").alias("end"), F.coalesce(size + other, size, other).alias("nbytes"))
+    turns = fold(name("turn", "turn"), "turn", F.when(first & F.col("mate").isNull(), root).otherwise(chapter))
+    chapters = F.when(opens, fold(chapter, "chapter", root, both))
+    alls = F.when(F.col("i") == 0, fold(root, "all", F.lit(None).cast("string"), F.col("all")))
+    return t.select("session", F.explode(F.array(turns, chapters, alls)).alias("x")).where("x is not null").select("session", "x.*")
 
 
 def flatten_refs(m: DataFrame, f: DataFrame) -> DataFrame:
@@ -101,13 +112,19 @@ def violations(f: DataFrame, m: DataFrame) -> DataFrame:
 
 
 def visible(f: DataFrame, expand_from: int) -> DataFrame:
-    """Topmost collapsed folds: roots of so many bytes are expanded, and chapters of half as many."""
-    p = f.select(F.col("fold").alias("parent"), F.col("kind").alias("parent_kind"), F.col("nbytes").alias("parent_bytes"), F.col("parent").alias("grand"))
-    g = f.select(F.col("fold").alias("grand"), F.col("nbytes").alias("grand_bytes"))
-    r = f.join(p, "parent", "left").join(g, "grand", "left")
-    limit = lambda kind: F.when(kind == "all", expand_from).otherwise(expand_from // 2)
-    own = (F.col("kind") != "turn") & (F.col("nbytes") >= limit(F.col("kind")))
-    shown = F.col("parent").isNull() | (F.col("parent_bytes") >= limit(F.col("parent_kind"))) & (F.col("grand").isNull() | (F.col("grand_bytes") >= expand_from))
+    """Topmost collapsed folds: roots of so many bytes are expanded, and chapters of half as many.
+
+    A fold's chapter and root are in its session, so windows find them: a join
+    on the parent would send all roots, which have none, to one task.
+    """
+    chapter = F.when(F.col("kind") == "turn", F.col("parent")).otherwise(F.col("fold"))
+    most = lambda kind, by: F.max(F.when(F.col("kind") == kind, F.col("nbytes"))).over(by)
+    r = f.withColumn("chapter", chapter)
+    r = r.withColumn("chapter_bytes", most("chapter", W.partitionBy("session", "chapter"))).withColumn("root_bytes", most("all", W.partitionBy("session")))
+    root, opened = F.col("root_bytes") >= expand_from, F.col("chapter_bytes") >= expand_from // 2
+    inside = (F.col("kind") == "turn") & F.col("parent").startswith("chapter-")
+    shown = F.col("parent").isNull() | root & (~inside | opened)
+    own = F.when(F.col("kind") == "all", root).when(F.col("kind") == "chapter", opened).otherwise(False)
     return r.where(shown & ~own).select("session", "fold", "kind", "start", "end", "nbytes")
 
 

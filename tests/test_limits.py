@@ -89,3 +89,21 @@ def test_carriage_reads_stored_texts(spark):
     r = containment.contained(texts, facts)
     assert "upper(" not in r._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(x) for x in r.collect()] == [(1, "3", "7")]
+
+
+def test_visible_folds_come_from_one_pass_without_joins(spark):
+    """A join on the parent sends all roots, which have none, to one task; a branch for each level holds memory for each."""
+    from loglathe.operators import forest as R
+
+    sizes = {1: [10, 20, 30], 2: [4000], 3: [900, 900, None, 100, 5000], 4: [None]}
+    rows = [(s, 2 * i + k, role, n, k == 1) for s, turns in sizes.items() for i, size in enumerate(turns) for k, (role, n) in enumerate((("user", 0 if size is not None else None), ("assistant", size)))]
+    m = spark.createDataFrame(rows, "session long, idx int, role string, nbytes long, terminal boolean")
+    f = R.folds(m)
+    plan = R.visible(f, 3000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Union" not in plan
+    got = {r["fold"]: tuple(r)[2:] for r in f.collect()}
+    assert len(got) == 5 + 2 + 8 + 2 == f.count()
+    assert got["chapter-3-0"] == ("chapter", "all-3", 0, 4, 1800) and got["chapter-3-1"] == ("chapter", "all-3", 4, 8, 100)
+    assert got["turn-1-3"] == ("turn", "all-1", 4, 6, 30) and got["turn-3-5"] == ("turn", "all-3", 8, 10, 5000)
+    assert got["all-3"] == ("all", None, 0, 10, 6900) and got["all-4"] == ("all", None, 0, 2, None)
+    assert sorted(r["fold"] for r in R.visible(f, 3000).collect()) == ["all-1", "chapter-3-1", "turn-2-1", "turn-3-1", "turn-3-2", "turn-3-5"]

@@ -497,3 +497,27 @@ def test_initial_weights_come_from_all_training_documents(spark, odd, monkeypatc
     assert mixing.score(odd).count() == odd.count()
     assert [x[0] for x in seen] == [0, 1]
     assert not np.array_equal(seen[0][3]["markers"], seen[1][3]["markers"])
+
+
+def test_top_tokens_are_found_by_their_upper_bits():
+    r = np.random.default_rng(5)
+    keys = np.unique(np.concatenate([r.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2), np.arange(40, dtype=np.uint64) + np.uint64(7 << 50), np.array([0, 2**64 - 1], np.uint64)]))
+    lex = mixing.lexicon(keys, np.arange(len(keys)) + 1, int(len(keys) * (len(keys) + 1) // 2), np.zeros(256, np.int64))
+    assert len(lex["index"]) == (1 << 20) + 1
+    asked = np.concatenate([keys, keys + np.uint64(1), keys - np.uint64(1), r.integers(0, 1 << 63, 3000).astype(np.uint64)])
+    found, at = mixing.look_up(lex, asked)
+    assert np.array_equal(found, np.isin(asked, keys)) and np.array_equal(lex["keys"][at[found]], asked[found])
+
+
+def test_texts_of_about_the_same_length_are_scored_together(monkeypatch):
+    """Each text once, the shorter ones first; training keeps the order of the block and takes one half."""
+    per = np.array([50, 3, 40, 1, 3, 90, 2, 41])
+    folds = np.array([0, 1, 2, 3, 4, 5, 6, 0])
+    n = int(per.sum())
+    kinds = {"per": per, "folds": folds, "tok": np.full(n, mixing.STOP, np.uint32), "steps": np.full(mixing.PREDICTORS * n, 255, np.uint8), "states": np.zeros(mixing.PREDICTORS * n, np.uint8), "flags": np.zeros(0, np.uint8), "hits": np.zeros(0, bool), "odd_text": np.zeros(0, np.uint8), "odd_size": np.zeros(0, np.int64)}
+    row = {k: mixing.shut(x) for k, x in kinds.items()}
+    monkeypatch.setattr(mixing, "streams", lambda lex, model, tok, per, *rest: (per.tolist(), None))
+    monkeypatch.setattr(mixing, "PIECE", 60)
+    got = [(use.tolist(), sizes) for use, sizes, _ in mixing.pieces(row, {}, {})]
+    assert [x for use, _ in got for x in use] == [3, 6, 1, 4, 2, 7, 0, 5] and [x for _, sizes in got for x in sizes] == sorted(per.tolist())
+    assert [use.tolist() for use, *_ in mixing.pieces(row, {}, {}, 0)] == [[0, 1], [3], [7]]

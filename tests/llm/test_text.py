@@ -313,6 +313,37 @@ def test_mixing_equals_a_slow_mixer():
         assert math.isclose(got[i], slow_mix(inputs[own].tolist(), gate[own].tolist(), weights.tolist()), rel_tol=1e-4, abs_tol=1e-4)
 
 
+def test_numbers_and_planes():
+    rng = np.random.RandomState(5)
+    high = rng.randint(0, 1 << 40, 300).astype(np.uint64) << np.uint64(20)
+    for values in (np.zeros(0, np.uint64), np.zeros(4, np.uint64), rng.randint(0, 50, 500).astype(np.uint64), np.repeat(high, 3), high[:9].repeat(90) | rng.randint(0, 3, 810).astype(np.uint64)):
+        distinct, number = mixing.numbers(values)
+        want = np.unique(values, return_inverse=True)
+        assert (distinct == want[0]).all() and (number == want[1]).all()
+    for values in (high, high.astype(np.uint32), rng.randint(0, 2, 9) > 0, np.zeros((3, 0), np.int16)):
+        assert (mixing.opened(mixing.shut(values), values.dtype) == values.reshape(-1)).all()
+    logits = np.array([0, 0.5, -3.25, 9.999, 12, -np.inf])
+    assert np.abs(mixing.fixed(logits) * mixing.UNIT - logits.clip(-10, 10)).max() <= mixing.UNIT / 2 * 1.01
+
+
+def test_one_pass_learns_from_all_training_documents(monkeypatch):
+    """Each training document once, with the markers' shares of the other half; none that is held out."""
+    monkeypatch.setattr(mixing, "PIECE", 20)
+    monkeypatch.setattr(mixing, "streams", lambda lex, model, tok, per, training, table, *more: (tok.tolist(), per.tolist(), training.all(), table.tolist()))
+    folds, per = np.array([0, 2, 5, 3, 4, 2, 6, 1, 40]) % 7, np.array([3, 2, 1, 30, 4, 9, 5, 1, 6])
+    n = int(per.sum())
+    shut, none = mixing.shut, mixing.shut(np.zeros(0, np.int64))
+    row = {"per": shut(per), "folds": shut(folds), "tok": shut(np.arange(n).astype(np.uint32)), "steps": shut(np.zeros((mixing.PREDICTORS, n), np.uint8)), "states": shut(np.zeros((mixing.PREDICTORS, n), np.uint8)), "flags": none, "hits": none, "odd_text": none, "odd_size": none}
+    ends, seen = np.cumsum(per), []
+    for use, tok, sizes, training, table in mixing.pieces(row, None, None, learning=True):
+        assert training and sizes == per[use].tolist() and tok == [x for d in use for x in range(ends[d] - per[d], ends[d])]
+        assert table == [0 if folds[d] >= mixing.SECOND else mixing.MARKERS + 1 for d in use]
+        seen += use.tolist()
+    assert sorted(seen) == np.flatnonzero(folds != mixing.HELD_OUT).tolist()
+    scored = [d for use, *_ in mixing.pieces(row, None, None) for d in use.tolist()]
+    assert sorted(scored) == list(range(len(per)))
+
+
 @pytest.mark.parametrize("split", [1 << 20, 2])
 def test_context_counts_equal_brute_force(spark, odd, odd_texts, monkeypatch, split):
     """What predicts each token, from counts over all other training documents, whatever the blocks, buckets and parts."""

@@ -55,6 +55,21 @@ def test_binomial_tails_of_larger_tables_equal_their_oracles_and_are_whole(spark
     assert min(groups) <= 60 < max(groups) and sum(groups) == labels.join(documents, "doc_id").count()
 
 
+def test_binomial_tail_alone_gives_groups_of_every_size(spark, tmp_path):
+    sizes = {0: (3, 2), 10: (60, 31), 20: (61, 30), 30: (500, 260), 40: (500, 0), 50: (4000, 1990)}  # by hundredths of confidence: cases, correct ones
+    cases = [(1 + i + 10_000 * c, c, int(i < s)) for c, (n, s) in sizes.items() for i in range(n)]
+    db = duckdb.connect()
+    for name, rows, columns in (("documents", [(i, c) for i, c, _ in cases], "doc_id long, n_chars long"), ("labels", [(i, ok, 0) for i, _, ok in cases], "doc_id long, quality long, toxic long")):
+        spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{name}.parquet")
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    run, sql = catalogue.QUERIES["binomial_tail"], catalogue.ORACLE_SQL["binomial_tail"]
+    assert oracle.difference(spark, db, run, sql, str(tmp_path)) == ""
+    got = {round(100 * r["confidence"]): (r["n"], r["s"], r["tail"]) for r in run(spark, str(tmp_path)).collect()}
+    assert {c: x[:2] for c, x in got.items()} == sizes
+    for c, (n, s) in sizes.items():
+        assert abs(got[c][2] - sum(math.comb(n, k) for k in range(s, n + 1)) / 2**n) < 1e-6
+
+
 def test_salience_tokenises_texts_once(spark):
     """What is left to run reads stored tokens; a rare and a frequent term count alike."""
     from loglathe.operators import retrieval as R
